@@ -1,0 +1,45 @@
+"""The queries of the core, and their SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from fernglass.operators import hot_keys
+from fernglass.runtime import read
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return hot_keys.names_holding(read(spark, d, "triples"))
+
+
+def p2_summary(spark: SparkSession, d: str) -> DataFrame:
+    return hot_keys.summarise_names(read(spark, d, "triples"))
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in (p2_found, p2_summary)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p2_found": """
+            WITH m AS (
+              SELECT 'subject' AS role, subject AS name FROM triples UNION ALL SELECT 'object', object FROM triples
+            )
+            SELECT role, name FROM m WHERE name IS NOT NULL GROUP BY role, name
+            HAVING count(*) >= 0.02 * (SELECT count(*) FROM triples)
+        """,
+        "p2_summary": """
+            WITH m AS (
+              SELECT 'subject' AS role, subject AS name, object AS partner, relation, batch, extracted_at FROM triples
+              UNION ALL SELECT 'object', object, subject, relation, batch, extracted_at FROM triples
+            )
+            SELECT role, name, count(*) AS n_rows, count(DISTINCT partner) AS n_partners, count(DISTINCT relation) AS n_relations,
+                   min(extracted_at) AS first_at, max(extracted_at) AS last_at, max(batch) AS last_batch
+            FROM m WHERE name IS NOT NULL GROUP BY role, name
+        """,
+    }
