@@ -14,11 +14,13 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: str | None = None
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_SHIPPED: set[str] = set()
 
 
 def session(app: str = "fernglass", cpus: int | None = None) -> SparkSession:
@@ -56,7 +58,6 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     # the schema is given, so no file is opened to infer it and an empty table keeps its columns
     out = spark.read.schema(df.schema).parquet(path)
     out._fernglass_path = path
@@ -78,5 +79,22 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once an application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    here = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="fernglass-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/fernglass.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f"fernglass/{f.relative_to(here)}")
+    spark.sparkContext.addPyFile(f"{folder}/fernglass.zip")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
