@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fernglass.llm import match_groups, near_duplicates, packing, question_splits, tokenizer
+from fernglass.llm import keyword_spam, match_groups, name_variants, near_duplicates, packing, question_splits, split_overlap, tokenizer, visual_forms
 from fernglass.runtime import materialize, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,34 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(read(spark, d, "passages"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.overlaps(read(spark, d, "labeled_queries"), read(spark, d, "pairs"), read(spark, d, "passages"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.overlap_report(materialize(p3_found(spark, d)), read(spark, d, "labeled_queries"), read(spark, d, "pairs"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_variants.variant_pairs(read(spark, d, "triples"), read(spark, d, "raw_triples"), read(spark, d, "name_aliases"))
+
+
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    return name_variants.name_entities(read(spark, d, "triples"), read(spark, d, "raw_triples"), read(spark, d, "name_aliases"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return match_groups.group_ids(match_groups.match_edges(read(spark, d, "dedupe_removals"), read(spark, d, "replacements")))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return visual_forms.look_alike_pairs(read(spark, d, "passages"), read(spark, d, "triples"))
+
+
+def p6_forms(spark: SparkSession, d: str) -> DataFrame:
+    return visual_forms.all_forms(read(spark, d, "passages"), read(spark, d, "triples"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return question_splits.question_groups(read(spark, d, "question_passages"), read(spark, d, "pairs"))
 
@@ -44,8 +68,16 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p9_containers(spark, d))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return keyword_spam.spam_documents(read(spark, d, "documents"))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return keyword_spam.scored(read(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p5_found, p7_found, p7_splits, p8_ids, p9_containers, p9_report)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_report, p4_found, p4_entities, p5_found, p6_found, p6_forms, p7_found, p7_splits, p8_ids, p9_containers, p9_report, p10_found, p10_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
