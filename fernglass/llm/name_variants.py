@@ -37,6 +37,8 @@ TITLES = {"mr", "mrs", "ms", "miss", "mx", "dr", "prof", "professor", "sir", "da
 JOINING = {"the", "of", "and", "for", "a", "an"}
 _QUOTED = re.compile(r"[“\"„«(\[][^”\"“»)\]]*[”\"“»)\]]")
 _PARTS = re.compile(r"[\s,;/]+")
+_DOTTED = re.compile(r"\w(?:\.\w)+")  # initials of several words stand for these words,
+_CAPITALS = re.compile(r"[A-Z]{2,4}")  # and so do a few capitals in a name of mixed case
 _EDGE = re.compile(r"^[^\w&]+|[^\w&]+$")
 
 
@@ -45,7 +47,8 @@ def name_tokens(name: str, aliases: dict[str, str]) -> list[str]:
     text = fold(name)
     rest = _QUOTED.sub(" ", text)
     raw = [t for t in (_EDGE.sub("", p).replace("'", "").replace("’", "") for p in _PARTS.split(rest if len(rest.split()) > 1 else text)) if t]
-    raw = ["and" if t == "&" else t for t in raw]
+    mixed = any(c.islower() for c in text)
+    raw = [x for t in raw for x in (t.split(".") if _DOTTED.fullmatch(t) else list(t) if mixed and _CAPITALS.fullmatch(t) else ["and" if t == "&" else t])]
     kept = [t for t in raw if t.casefold() not in JOINING] or raw
     capital = any(t[0].isupper() for t in kept)
     while len(kept) > 2 and (kept[0].casefold() in TITLES or (capital and kept[0].islower() and len(kept[0]) > 2)):
