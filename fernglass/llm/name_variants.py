@@ -147,11 +147,8 @@ def parsed(names: DataFrame, aliases: dict[str, str]) -> DataFrame:
 
 
 def _ends(token, shortest: int):
-    """All suffixes of a token, and of the token reversed, from ``shortest`` characters on."""
-    lengths = F.when(F.length(token) >= shortest, F.sequence(F.lit(shortest), F.length(token))).otherwise(F.array().cast("array<int>"))
-    back = F.transform(lengths, lambda k: F.concat(F.lit("<"), F.right(token, k)))
-    fore = F.transform(lengths, lambda k: F.concat(F.lit(">"), F.left(token, k)))
-    return F.concat(back, fore)
+    """The suffix of ``shortest`` characters of a token and of the token reversed; longer ones lie within these blocks."""
+    return F.when(F.length(token) >= shortest, F.array(F.concat(F.lit("<"), F.right(token, F.lit(shortest))), F.concat(F.lit(">"), F.left(token, F.lit(shortest))))).otherwise(F.array().cast("array<string>"))
 
 
 def blocks(nodes: DataFrame, shortest: int = SHORTEST_SUFFIX) -> DataFrame:
