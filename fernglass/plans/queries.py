@@ -1,45 +1,402 @@
-"""The queries of the core, and their SQL where SQL can express them."""
+"""The queries of the core, and their SQL where SQL can express them.
+
+Searches take as queries the labeled queries whose number is divisible by 100
+(embeddings: the vectors whose id is), against all rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fernglass.operators import hot_keys
-from fernglass.runtime import read
+from fernglass.functions import text as T
+from fernglass.operators import dedupe, evaluate, extract, freeze, hot_keys, index, ingest, queryset, retrieve, training_pairs
+from fernglass.plans import sql
+from fernglass.runtime import materialize, read, shared_root
+from fernglass.sources import files
+from fernglass.streaming import increment
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
+def _corpus(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.latest(read(spark, d, "passages"))
+
+
+def _searches(spark: SparkSession, d: str) -> DataFrame:
+    q = read(spark, d, "labeled_queries").where("text is not null")
+    return q.where(F.regexp_extract("query_id", r"([0-9]+)$", 1).cast("long") % 100 == 0).select("query_id", "text").distinct()
+
+
+def _labeled(spark: SparkSession, d: str) -> DataFrame:
+    """The searches with their category and judgments, once each; a row with text counts before one without."""
+    q = read(spark, d, "labeled_queries").join(_searches(spark, d).select("query_id").distinct(), "query_id", "left_semi").where("text is not null")
+    return q.dropDuplicates(["query_id"]).select("query_id", "text", "category", "relevant", "origin", "source_question_id")
+
+
+def _rounded(hits: DataFrame, digits: int = 6) -> DataFrame:
+    return hits.withColumns({c: F.round(c, digits) for c, t in hits.dtypes if t == "double"})
+
+
+# --- ingest and dedupe -------------------------------------------------------------
+
+
+def p2_found(spark, d):
     return hot_keys.names_holding(read(spark, d, "triples"))
 
 
-def p2_summary(spark: SparkSession, d: str) -> DataFrame:
+def p2_summary(spark, d):
     return hot_keys.summarise_names(read(spark, d, "triples"))
 
 
+def corpus_latest(spark, d):
+    return _corpus(spark, d)
+
+
+def sentence_slices(spark, d):
+    return ingest.sentences(read(spark, d, "passages")).distinct()
+
+
+def content_address(spark, d):
+    p = read(spark, d, "passages")
+    return p.select("passage_id", T.passage_id(F.col("title"), F.col("text")).alias("content_id")).distinct()
+
+
+def exact_duplicates(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), "text")
+    return dedupe.exact_duplicates(docs, F.sha2(T.collapse(F.col("text")), 256))
+
+
+def near_duplicate_pairs(spark, d):
+    x = dedupe.near_pairs(_corpus(spark, d).select(F.col("passage_id").alias("id"), "text"))
+    # texts of one set of runs are linked through one of them
+    return x.where("jaccard < 1").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+def dedupe_corpus(spark, d):
+    return dedupe.dedupe(_corpus(spark, d), digest=F.sha2(T.collapse(F.col("text")), 256))
+
+
+def _replacements(spark, d):
+    r = read(spark, d, "replacements").where("removed_id is not null and kept_id is not null and kept_id <> '' and removed_id <> kept_id")
+    return r.groupBy("removed_id").agg(F.min("kept_id").alias("kept_id"))
+
+
+def remapped_questions(spark, d):
+    q = read(spark, d, "question_passages").dropDuplicates(["question_id"]).select("question_id", F.transform("gold", lambda p: p["passage_id"]).alias("passage_ids"))
+    return dedupe.remap(q, _replacements(spark, d), _corpus(spark, d).select("passage_id"))
+
+
+def dangling_ids(spark, d):
+    q = read(spark, d, "labeled_queries").select(F.col("query_id").alias("question_id"), F.map_keys("relevant").alias("passage_ids")).distinct()
+    return dedupe.dangling(q, _corpus(spark, d)).distinct()
+
+
+def corpus_hash(spark, d):
+    return spark.createDataFrame([(freeze.corpus_hash(_corpus(spark, d)),)], "corpus_hash string")
+
+
+def corpus_digest(spark, d):
+    return freeze.corpus_digest(_corpus(spark, d))
+
+
+def incremental_add(spark, d):
+    p = read(spark, d, "passages")
+    cut = p.agg(F.expr("cast(max(batch) / 2 as int)").alias("c"))
+    x = p.join(F.broadcast(cut))
+    return ingest.new_rows(x.where("batch <= c"), x.where("batch > c")).select("passage_id")
+
+
+def jsonl_round_trip(spark, d):
+    path = f"{shared_root(spark)}/lines-{uuid4().hex}"
+    c = read(spark, d, "passages").select("passage_id", "title", "text", "sentence_spans", "source")
+    files.write_jsonl(c, path)
+    return files.load_corpus(spark, path).select("passage_id", "title", "text", "source", F.coalesce(F.size("sentence_spans"), F.lit(-1)).alias("n_spans"))
+
+
+def streamed_add(spark, d):
+    root = f"{shared_root(spark)}/stream-{uuid4().hex}"
+    table = read(spark, d, "passages")
+    table.write.parquet(f"{root}/in")
+    increment.add_stream(spark, f"{root}/in", table.schema, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("passage_id")
+
+
+def streamed_windows(spark, d):
+    root = f"{shared_root(spark)}/stream-{uuid4().hex}"
+    table = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    table.write.parquet(f"{root}/in")
+    x = increment.counts_by_window(spark, f"{root}/in", table.schema)
+    x.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(x.schema).parquet(f"{root}/out")
+
+
+# --- text functions --------------------------------------------------------------
+
+
+def surface_forms(spark, d):
+    r = read(spark, d, "raw_triples").select("raw_id", "passage_id", "subject_text", "object_text", "relation")
+    return extract.normalize_relations(r, _corpus(spark, d)).select("raw_id", "subject", "object")
+
+
+def query_overlap(spark, d):
+    q = read(spark, d, "labeled_queries").where("text is not null").dropDuplicates(["query_id"])
+    x = queryset.overlap(q, _corpus(spark, d))
+    return x.select("query_id", "passage_id", F.array_join("shared", " ").alias("shared"))
+
+
+def term_candidates(spark, d):
+    c = _corpus(spark, d)
+    return c.select("passage_id", F.posexplode(T.extract_candidates(F.col("title"), F.col("text"))).alias("pos", "c")).select("passage_id", "pos", "c.term", "c.kind")
+
+
+# --- indexes and retrieval ---------------------------------------------------------
+
+
+def bm25_term_stats(spark, d):
+    return index.term_stats(index.analyzed(_corpus(spark, d)))
+
+
+def bm25_field_stats(spark, d):
+    return _rounded(index.field_stats(index.analyzed(_corpus(spark, d))), 9)
+
+
+def bm25_search(spark, d):
+    return _rounded(retrieve.bm25(_searches(spark, d), _corpus(spark, d), 10))
+
+
+def bm25_text_search(spark, d):
+    return _rounded(retrieve.bm25(_searches(spark, d), _corpus(spark, d), 10, ("text",)))
+
+
+def dense_search(spark, d):
+    e = read(spark, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _rounded(retrieve.dense(q, e, 10, "vec_id"))
+
+
+def _dense_hits(spark, d, k):
+    return retrieve.search("dense", _searches(spark, d), _corpus(spark, d), None, k)
+
+
+def dense_text_search(spark, d):
+    return _rounded(_dense_hits(spark, d, 10))
+
+
+def vector_checks(spark, d):
+    return index.vector_problems(read(spark, d, "embeddings"), "vec_id", 64)
+
+
+def graph_edges(spark, d):
+    return index.graph_edges(read(spark, d, "triples"))
+
+
+def graph_nodes(spark, d):
+    return index.graph_nodes(read(spark, d, "triples"))
+
+
+def node_degrees(spark, d):
+    return index.degrees(index.graph_edges(read(spark, d, "triples")))
+
+
+def passage_triples(spark, d):
+    t = read(spark, d, "triples")
+    named = read(spark, d, "labeled_queries").select(F.explode(F.map_keys("relevant")).alias("passage_id"))
+    return index.triples_of(t, named).groupBy("passage_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _links(spark, d):
+    return retrieve.entity_links(_searches(spark, d), index.graph_nodes(read(spark, d, "triples")).select("name"))
+
+
+def entity_links(spark, d):
+    q = read(spark, d, "labeled_queries").where("text is not null").select("query_id", "text").distinct()
+    return retrieve.entity_links(q, index.graph_nodes(read(spark, d, "triples")).select("name"))
+
+
+def link_failure(spark, d):
+    q = read(spark, d, "labeled_queries").where("text is not null").select("query_id", "text").distinct()
+    return evaluate.link_failure(q, materialize(entity_links(spark, d)))
+
+
+def _graph_hits(spark, d, k):
+    # passages' titles name what their triples are about; the searches are questions over the same names
+    return retrieve.graph(materialize(_links(spark, d)), index.graph_edges(read(spark, d, "triples")), k)
+
+
+def graph_search(spark, d):
+    return _graph_hits(spark, d, 10)
+
+
+def graph_search_names(spark, d):
+    """Two hops from the names of raw triples whose id is divisible by 100."""
+    r = read(spark, d, "raw_triples").where("raw_id % 100 = 0 and subject_text is not null")
+    links = r.select(F.col("raw_id").cast("string").alias("query_id"), F.col("subject_text").alias("name"))
+    return retrieve.graph(links, index.graph_edges(read(spark, d, "triples")), 10)
+
+
+def _fused_hits(spark, d, k):
+    c = _corpus(spark, d)
+    q = _searches(spark, d)
+    return retrieve.fuse(retrieve.bm25(q, c), _dense_hits(spark, d, None), _graph_hits(spark, d, 50), k)
+
+
+def fused_search(spark, d):
+    return _rounded(_fused_hits(spark, d, 10), 9)
+
+
+def reranked_search(spark, d):
+    base = materialize(_fused_hits(spark, d, 50))
+    hits = retrieve.rerank(_searches(spark, d), base, _corpus(spark, d), k=10)
+    return _rounded(hits.select("query_id", "passage_id", "score", "rank"), 6)
+
+
+def tuned_search(spark, d):
+    """The reranker with weights fitted to the training pairs."""
+    model = training_pairs.train_scorer(read(spark, d, "pairs").where("query is not null and passage is not null"))
+    base = materialize(_fused_hits(spark, d, 50))
+    return retrieve.rerank(_searches(spark, d), base, _corpus(spark, d), training_pairs.linear_scorer(model), 10).select("query_id", "passage_id", "rank")
+
+
+def contract_checks(spark, d):
+    return retrieve.contract_problems(materialize(_fused_hits(spark, d, 10)), 10)
+
+
+# --- evaluation --------------------------------------------------------------------
+
+
+def _scores(spark, d):
+    labeled = materialize(_labeled(spark, d))
+    bm = materialize(retrieve.bm25(_searches(spark, d), _corpus(spark, d), 10))
+    de = materialize(_dense_hits(spark, d, 10))
+    return labeled, {"bm25": evaluate.query_scores(labeled, bm), "dense": evaluate.query_scores(labeled, de)}
+
+
+def query_metrics(spark, d):
+    _, s = _scores(spark, d)
+    return _rounded(s["bm25"].withColumn("config", F.lit("bm25")).unionByName(s["dense"].withColumn("config", F.lit("dense"))))
+
+
+def mean_metrics(spark, d):
+    _, s = _scores(spark, d)
+    return _rounded(evaluate.mean_scores(s["bm25"]))
+
+
+def bootstrap_hashed(spark, d):
+    _, s = _scores(spark, d)
+    pooled = lambda x: x.withColumn("category", F.lit("pooled"))
+    return _rounded(evaluate.hashed_bootstrap(materialize(evaluate.paired(pooled(s["bm25"]), pooled(s["dense"]))), resamples=200))
+
+
+def bootstrap_numpy(spark, d):
+    _, s = _scores(spark, d)
+    pooled = lambda x: x.withColumn("category", F.lit("pooled"))
+    return evaluate.paired_bootstrap(evaluate.paired(pooled(s["bm25"]), pooled(s["dense"])))
+
+
+def baseline_choice(spark, d):
+    _, s = _scores(spark, d)
+    m = lambda n: evaluate.mean_scores(s[n]).where("n > 0").withColumn("config", F.lit(n))
+    return evaluate.pick_baseline(m("bm25").unionByName(m("dense")))
+
+
+def graph_wins(spark, d):
+    labeled = _labeled(spark, d)
+    return evaluate.graph_wins(labeled, _dense_hits(spark, d, 10), _fused_hits(spark, d, 10)).drop("graph_provenance")
+
+
+def pattern_precision(spark, d):
+    """Of each pattern's triples, the share that has a type on both sides, with its interval."""
+    t = read(spark, d, "triples").groupBy("pattern").agg(F.count_if(F.col("subject_type").isNotNull() & F.col("object_type").isNotNull()).alias("k"), F.count(F.lit(1)).alias("n"))
+    p, low, high = evaluate.wilson(F.col("k"), F.col("n"))
+    return _rounded(t.select("pattern", "k", "n", p.alias("point"), low.alias("low"), high.alias("high")), 9)
+
+
+def latency_percentiles(spark, d):
+    return evaluate.nearest_rank(read(spark, d, "events"), ["event_type"], "value", (50, 95))
+
+
+def linear_percentiles(spark, d):
+    e = read(spark, d, "events").groupBy("user_id").agg(F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"))
+    return _rounded(e)
+
+
+def relation_histogram(spark, d):
+    return extract.relation_histogram(read(spark, d, "triples"))
+
+
+def extraction_quality(spark, d):
+    """Extracted triples against the raw ones of the same sentences."""
+    gold = read(spark, d, "raw_triples").where("passage_id is not null and sentence_index is not null").select("passage_id", "sentence_index", F.col("subject_text").alias("subject"), "relation", F.col("object_text").alias("object"), F.col("raw_id").alias("pos"))
+    got = read(spark, d, "triples").where("passage_id is not null and sentence_index is not null")
+    got = got.select("passage_id", "sentence_index", "subject", "relation", "object", F.xxhash64("subject", "relation", "object", "batch").alias("pos"))
+    return extract.quality(materialize(extract.greedy_matches(gold, got)))
+
+
+# --- query sets and training pairs ------------------------------------------------------
+
+
+def exact_term_queries(spark, d):
+    return queryset.exact_term_queries(_corpus(spark, d)).select("query_id", "text", "category")
+
+
+def multi_hop_queries(spark, d):
+    q = read(spark, d, "question_passages").select("question_id", F.col("question").alias("text"), F.transform("gold", lambda p: p["passage_id"]).alias("passage_ids"))
+    return queryset.multi_hop_queries(q).select("query_id", "category", "origin", F.array_join(F.array_sort(F.map_keys("relevant")), " ").alias("passages"))
+
+
+def paraphrase_sample(spark, d):
+    return queryset.paraphrase_sample(_corpus(spark, d), read(spark, d, "labeled_queries")).select("passage_id")
+
+
+def queryset_problems(spark, d):
+    return queryset.problems(read(spark, d, "labeled_queries"), _corpus(spark, d))
+
+
+def category_counts(spark, d):
+    return queryset.category_counts(read(spark, d, "labeled_queries"))
+
+
+def training_pairs_built(spark, d):
+    return training_pairs.build_pairs(read(spark, d, "question_passages")).select("guid", "query", "passage", "label")
+
+
+def training_pool(spark, d):
+    return training_pairs.training_pool(read(spark, d, "labeled_queries"), read(spark, d, "question_passages"), _corpus(spark, d))
+
+
+def training_sample(spark, d):
+    return training_pairs.training_questions(training_pool(spark, d))
+
+
+def unresolved_sources(spark, d):
+    return training_pairs.unresolved(read(spark, d, "labeled_queries"), read(spark, d, "question_passages"), _corpus(spark, d))
+
+
+def pair_split(spark, d):
+    return training_pairs.split_pairs(read(spark, d, "pairs").select("guid", "passage")).groupBy("guid", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pair_balance(spark, d):
+    return _rounded(training_pairs.pair_report(read(spark, d, "pairs")))
+
+
+ALL = (
+    p2_found, p2_summary, corpus_latest, sentence_slices, content_address, exact_duplicates, near_duplicate_pairs, dedupe_corpus, remapped_questions, dangling_ids, corpus_hash, corpus_digest,
+    incremental_add, jsonl_round_trip, streamed_add, streamed_windows, surface_forms, query_overlap, term_candidates, bm25_term_stats, bm25_field_stats, bm25_search, bm25_text_search, dense_search,
+    dense_text_search, vector_checks, graph_edges, graph_nodes, node_degrees, passage_triples, entity_links, link_failure, graph_search, graph_search_names, fused_search, reranked_search,
+    tuned_search, contract_checks, query_metrics, mean_metrics, bootstrap_hashed, bootstrap_numpy, baseline_choice, graph_wins, pattern_precision, latency_percentiles, linear_percentiles,
+    relation_histogram, extraction_quality, exact_term_queries, multi_hop_queries, paraphrase_sample, queryset_problems, category_counts, training_pairs_built, training_pool, training_sample,
+    unresolved_sources, pair_split, pair_balance,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_summary)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "p2_found": """
-            WITH m AS (
-              SELECT 'subject' AS role, subject AS name FROM triples UNION ALL SELECT 'object', object FROM triples
-            )
-            SELECT role, name FROM m WHERE name IS NOT NULL GROUP BY role, name
-            HAVING count(*) >= 0.02 * (SELECT count(*) FROM triples)
-        """,
-        "p2_summary": """
-            WITH m AS (
-              SELECT 'subject' AS role, subject AS name, object AS partner, relation, batch, extracted_at FROM triples
-              UNION ALL SELECT 'object', object, subject, relation, batch, extracted_at FROM triples
-            )
-            SELECT role, name, count(*) AS n_rows, count(DISTINCT partner) AS n_partners, count(DISTINCT relation) AS n_relations,
-                   min(extracted_at) AS first_at, max(extracted_at) AS last_at, max(batch) AS last_batch
-            FROM m WHERE name IS NOT NULL GROUP BY role, name
-        """,
-    }
+    return sql.ORACLES
