@@ -14,6 +14,7 @@ entities, and entities of persons and organisations list their spellings.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import permutations
 
@@ -34,7 +35,7 @@ EXPANDED = 400  # spellings of an entity that are paired with each other; beyond
 
 # Titles that may precede a name, and words that join a name's parts.
 TITLES = {"mr", "mrs", "ms", "miss", "mx", "dr", "prof", "professor", "sir", "dame", "lord", "lady", "rev", "hon", "capt", "captain", "col", "gen", "lt", "sgt", "maj", "st", "saint", "madam", "judge", "justice", "president", "senator"}
-JOINING = {"the", "of", "and", "for", "a", "an"}
+JOINING = {"the", "of", "and", "for"}
 _QUOTED = re.compile(r"[“\"„«(\[][^”\"“»)\]]*[”\"“»)\]]")
 _PARTS = re.compile(r"[\s,;/]+")
 _DOTTED = re.compile(r"\w(?:\.\w)+")  # initials of several words stand for these words,
@@ -93,23 +94,24 @@ def token_match(a: str, b: str) -> int:
 def names_match(a: list[str], b: list[str]) -> bool:
     """Whether two names' tokens can be matched one to one.
 
-    One matched pair of at least 5 letters must be equal or alike, at most one (of
-    more than two tokens, two) may be merely alike, and both names need two tokens
-    or more.
+    Equal tokens belong to each other. One matched pair of at least 5 letters
+    must be equal or alike, at most one (of more than two tokens, two) may be
+    merely alike, and both names need two tokens or more.
     """
     k = len(a)
     if k != len(b) or k < 2:
         return False
-    orders = permutations(range(k)) if k <= TOKENS else [range(k)]
-    level = [[token_match(x, y) for y in b] for x in a]
+    common = Counter(a) & Counter(b)
+    rest_a, rest_b = sorted((Counter(a) - common).elements()), sorted((Counter(b) - common).elements())
+    firm = any(len(t) >= 5 for t in common)
+    level = [[token_match(x, y) for y in rest_b] for x in rest_a]
     if any(not any(row) for row in level):
         return False
-    for order in orders:
+    m = len(rest_a)
+    for order in permutations(range(m)) if m <= TOKENS else [range(m)]:
         got = [level[i][j] for i, j in enumerate(order)]
-        if 0 in got:
-            continue
-        firm = any(g >= 2 and min(len(a[i]), len(b[j])) >= 5 for (i, j), g in zip(enumerate(order), got, strict=True))
-        if firm and got.count(2) <= 1 + (k > 2):
+        sure = firm or any(g == 2 and min(len(rest_a[i]), len(rest_b[j])) >= 5 for (i, j), g in zip(enumerate(order), got, strict=True))
+        if 0 not in got and sure and got.count(2) <= 1 + (k > 2):
             return True
     return False
 
@@ -189,7 +191,7 @@ def links(pairs: DataFrame) -> DataFrame:
 
 
 def entities(names: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, look, n, entity, type): linked names share an entity; its type is that of most of its rows, else that of its tokens in typed names."""
+    """(name, look, n, entity, type): linked names share an entity; its type is that of most of its rows, else, where a spelling has a capital, that of its tokens in typed names."""
     comp = materialize(min_propagation(edges, "a", "b"))
     x = names.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("entity", F.coalesce("component", "node"))
     x = materialize(x.select("name", "look", "n", "type", "node", "entity"))
@@ -197,7 +199,9 @@ def entities(names: DataFrame, edges: DataFrame) -> DataFrame:
     known = most(x.where("type is not null").groupBy("entity", "type").agg(F.sum("n").alias("n")), "n")
     tokens = x.select("entity", "type", F.explode(F.split("node", " ")).alias("token"))
     votes = tokens.where("type is not null").groupBy("token", "type").agg(F.count(F.lit(1)).alias("n"))
-    bare = tokens.join(known, "entity", "left_anti").select("entity", "token").distinct()
+    # general phrases are never typed and never capital; the names of persons and organisations are in at least one spelling
+    capital = x.groupBy("entity").agg(F.bool_or(F.lower("name") != F.col("name")).alias("c")).where("c").select("entity")
+    bare = tokens.join(known, "entity", "left_anti").join(capital, "entity", "left_semi").select("entity", "token").distinct()
     guessed = most(bare.join(votes, "token").groupBy("entity", "type").agg(F.sum("n").alias("n")), "n")
     return x.drop("type").join(known.unionByName(guessed), "entity")
 

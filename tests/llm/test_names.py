@@ -18,6 +18,8 @@ ALIASES = {"tirry": "bastirel", "basti": "bastirel"}
         ("The Kakunrunbul Bros. & Sons", ["bros", "kakunrunbul", "sons"]),
         ("Valbo B.C.", ["b", "c", "valbo"]),
         ("Vumzol Int'l Airport", ["airport", "intl", "vumzol"]),
+        ("A. Fomvesselkan", ["a", "fomvesselkan"]),
+        ("Valbospanpom UAA", ["a", "a", "u", "valbospanpom"]),
         ("he", ["he"]),
         ("the", ["the"]),
         ("...", []),
@@ -51,6 +53,8 @@ def test_common_subsequence():
         ("kakunrunbul theatre association", "assn kakunrunbul theater", True),
         ("kakunrunbul theatre association", "kakunrunbul records incorporated", False),
         ("valbospanpom broadcasting corporation", "b c valbospanpom", True),
+        ("simborminmas brothers sons", "susfonvitsin brothers sons", False),
+        ("a zumfiditza", "abrelin zumfiditza", True),
         ("b c", "b c d", False),
         ("b c", "b d", False),
         ("single", "single", False),
