@@ -7,7 +7,6 @@ Searches take as queries the labeled queries whose number is divisible by 100
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from fernglass.functions import text as T
 from fernglass.operators import dedupe, evaluate, extract, freeze, hot_keys, index, ingest, queryset, retrieve, training_pairs
 from fernglass.plans import sql
-from fernglass.runtime import materialize, read, shared_root
+from fernglass.runtime import materialize, read, scratch
 from fernglass.sources import files
 from fernglass.streaming import increment
 
@@ -111,14 +110,14 @@ def incremental_add(spark, d):
 
 
 def jsonl_round_trip(spark, d):
-    path = f"{shared_root(spark)}/lines-{uuid4().hex}"
+    path = scratch(spark, "lines")
     c = read(spark, d, "passages").select("passage_id", "title", "text", "sentence_spans", "source")
     files.write_jsonl(c, path)
     return files.load_corpus(spark, path).select("passage_id", "title", "text", "source", F.coalesce(F.size("sentence_spans"), F.lit(-1)).alias("n_spans"))
 
 
 def streamed_add(spark, d):
-    root = f"{shared_root(spark)}/stream-{uuid4().hex}"
+    root = scratch(spark, "stream")
     table = read(spark, d, "passages")
     table.write.parquet(f"{root}/in")
     increment.add_stream(spark, f"{root}/in", table.schema, f"{root}/out", f"{root}/state").awaitTermination()
@@ -126,7 +125,7 @@ def streamed_add(spark, d):
 
 
 def streamed_windows(spark, d):
-    root = f"{shared_root(spark)}/stream-{uuid4().hex}"
+    root = scratch(spark, "stream")
     table = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     table.write.parquet(f"{root}/in")
     x = increment.counts_by_window(spark, f"{root}/in", table.schema)

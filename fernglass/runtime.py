@@ -21,6 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: str | None = None
 _SHIPPED: set[str] = set()
+_WRITTEN: list[str] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """At the end of the driver, the tables it wrote to a mounted folder go; results that are still read need them until then."""
+    for path in _WRITTEN:
+        shutil.rmtree(path, ignore_errors=True)
 
 
 def session(app: str = "fernglass", cpus: int | None = None) -> SparkSession:
@@ -53,10 +61,18 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + _LOCAL_ROOT
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_root(spark)}/{kind}-{uuid.uuid4().hex}"
+    if path.startswith(("file:", "/")):
+        _WRITTEN.append(path.removeprefix("file://").removeprefix("file:"))
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     df.write.parquet(path)
     # the schema is given, so no file is opened to infer it and an empty table keeps its columns
     out = spark.read.schema(df.schema).parquet(path)
