@@ -12,10 +12,11 @@ each pair verified on all its runs.
 
 Several fingerprints under different hash functions make a miss unlikely: for a
 pair at the threshold, 4 bits of which 2 may be cleared miss with 0.31, six such
-fingerprints with 0.001; the more alike, the less. Runs that very many texts
-share (boilerplate) come into a fingerprint only when nothing else is left, which
-keeps buckets small; a bucket that is large all the same is refined by further
-hashes and never dropped.
+fingerprints with 0.001; the more alike, the less. A text that holds runs which
+very many texts share (boilerplate, or a passage copied again and again) has six
+fingerprints over all its runs, and six more into which shared runs come only
+when nothing else is left. A large bucket is refined by further hashes, and never
+dropped.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ BROADCAST_RUNS = 1_000_000  # boilerplate runs that may be broadcast (8 bytes ea
 BUCKET = 200  # texts in a bucket, from which on it is refined
 REFINE = 8  # further hashes a refined bucket is divided by; each text goes into as many parts
 LEVELS = 3
+PARITIES = 8  # longs of a text's parities
 EXPANDED = 50  # exact copies that are listed pair by pair; larger groups are a star around their smallest id
 
 
@@ -95,28 +97,37 @@ def variants(classes: DataFrame, common: np.ndarray | None, sketches: int = SKET
                 mo = np.repeat(np.arange(len(n)), np.diff(np.asarray(marks.offsets, np.int64)))
                 mv = np.asarray(marks.flatten())
                 boiler = np.isin(mix(v.view(np.uint64) + owner.astype(np.uint64) * M1), mix(mv.view(np.uint64) + mo.astype(np.uint64) * M1))
-            u = v.view(np.uint64)
             keys: list[np.ndarray] = []
             owners: list[np.ndarray] = []
-            for s in range(sketches):
-                h = mix(u + seeds[s])
-                order = np.lexsort((h, boiler, owner))
-                # the least hashes of each text stand first among its runs
-                rank = np.arange(len(v)) - np.repeat(offsets[:-1], n)
-                top = order[rank < bits]
-                rows = np.full((len(n), bits), 0, np.uint64)
-                there = np.zeros((len(n), bits), bool)
-                o, r = owner[top], rank[rank < bits]
-                rows[o, r], there[o, r] = mix(u[top]), True
-                for subset in subsets:
-                    ok = there[:, subset].all(axis=1)
-                    # a sum doesn't depend on the order of the bits
-                    keys.append(mix(rows[:, subset].sum(axis=1, dtype=np.uint64))[ok])
-                    owners.append(np.nonzero(ok)[0])
-                few = (n <= 2 * bits)[:, None] & there
-                o, r = np.nonzero(few)
-                keys.append(mix(rows[o, r] * M1))
-                owners.append(o)
+
+            def emit(v: np.ndarray, owner: np.ndarray, n: np.ndarray, boiler: np.ndarray, few: np.ndarray) -> None:
+                u = v.view(np.uint64)
+                first = np.repeat(np.cumsum(n) - n, n)
+                rank = np.arange(len(v)) - first
+                for s in range(sketches):
+                    h = mix(u + seeds[s])
+                    order = np.lexsort((h, boiler, owner))
+                    # the least hashes of each text stand first among its runs
+                    top = order[rank < bits]
+                    rows = np.full((len(n), bits), 0, np.uint64)
+                    there = np.zeros((len(n), bits), bool)
+                    o, r = owner[top], rank[rank < bits]
+                    rows[o, r], there[o, r] = mix(u[top]), True
+                    for subset in subsets:
+                        ok = there[:, subset].all(axis=1)
+                        # a sum doesn't depend on the order of the bits
+                        keys.append(mix(rows[:, subset].sum(axis=1, dtype=np.uint64))[ok])
+                        owners.append(np.nonzero(ok)[0])
+                    o, r = np.nonzero(few[:, None] & there)
+                    keys.append(mix(rows[o, r] * M1))
+                    owners.append(o)
+
+            few = n <= 2 * bits
+            emit(v, owner, n, boiler, few)
+            # where common runs went last, fingerprints over all runs as well; elsewhere both are the same
+            some = np.bincount(owner[boiler], minlength=len(n)) > 0
+            inside = some[owner]
+            emit(v[inside], owner[inside], np.where(some, n, 0), np.zeros(int(inside.sum()), bool), few)
             k, o = np.concatenate(keys), np.concatenate(owners)
             order = np.lexsort((k, o))
             k, o = k[order], o[order]
@@ -131,30 +142,69 @@ def variants(classes: DataFrame, common: np.ndarray | None, sketches: int = SKET
 
 def min_hashes(runs, n: int):
     """``n`` least hashes of an array under different hash functions."""
-    return F.array(*[F.array_min(F.transform(runs, lambda x, j=j: F.xxhash64(x, F.lit(j)))) for j in range(n)])
 
+    def least(j: int):
+        # a lambda's second parameter, even one with a default, would be the place in the array
+        return F.array_min(F.transform(runs, lambda x: F.xxhash64(x, F.lit(j))))
+
+    return F.array(*[least(j) for j in range(n)])
+
+
+def parities(classes: DataFrame) -> DataFrame:
+    """(rep, size, p0, p1, ...): the number of a text's runs, and for each of ``64 * PARITIES`` bits whether an odd number of runs falls on it."""
+    kind = classes.schema["rep"].dataType.simpleString()
+    names = [f"p{i}" for i in range(PARITIES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.diff(np.asarray(b.column(1).offsets, np.int64))
+            u = np.asarray(b.column(1).flatten()).view(np.uint64)
+            at = np.repeat(np.arange(len(n)), n) * PARITIES + ((u >> np.uint64(6)) % np.uint64(PARITIES)).astype(np.int64)
+            bits = np.zeros(len(n) * PARITIES, np.uint64)
+            np.bitwise_xor.at(bits, at, np.uint64(1) << (u & np.uint64(63)))
+            columns = bits.view(np.int64).reshape(len(n), PARITIES).T
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=["rep", "size", *names])
+
+    return classes.select("rep", "runs").mapInArrow(run, f"rep {kind}, size int, " + ", ".join(f"{x} long" for x in names))
+
+
+def candidates(keyed: DataFrame, classes: DataFrame, bucket: int = BUCKET, refine: int = REFINE, levels: int = LEVELS, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b), a < b, without repeats: texts that share a key, but for pairs that certainly stay below ``threshold``.
 
-def candidates(keyed: DataFrame, classes: DataFrame, bucket: int = BUCKET, refine: int = REFINE, levels: int = LEVELS) -> DataFrame:
-    """(a, b), a < b, without repeats: texts that share a key.
+    Two texts' parities differ in no more bits than there are runs that only one
+    of them has; a pair with more such bits than ``threshold`` allows is left out.
 
     A key of more than ``bucket`` texts is replaced by ``refine`` keys, each with
     one more least hash of the text: a pair at the threshold keeps one of them
-    with probability 1 - 0.5 ** refine. After ``levels`` refinements the parts are
-    joined whatever their size, so none is dropped.
+    with probability 1 - 0.5 ** refine. Where the parts would hold as many pairs
+    as the key itself (copies of one text), the key is joined whole instead, and
+    after ``levels`` refinements so are the parts, so none is dropped.
     """
+
+    sides = materialize(parities(classes))
+    x, y = (["key", *(F.col(c).alias(side + c) for c in sides.columns)] for side in "xy")
+    apart = sum((F.bit_count(F.col(f"xp{i}").bitwiseXOR(F.col(f"yp{i}"))) for i in range(PARITIES)), F.lit(0))
+    may = apart <= (F.col("xsize") + F.col("ysize")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+
+    def paired(rows: DataFrame) -> DataFrame:
+        both = rows.select("rep", "key").join(sides, "rep")
+        return both.select(*x).join(both.select(*y), "key").where(F.col("xrep") < F.col("yrep")).where(may).select(F.col("xrep").alias("a"), F.col("yrep").alias("b"))
+
+    size = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    w = materialize(keyed.withColumn("n", size).where("n > 1"))
     found = None
     for level in range(levels + 1):
-        size = F.count(F.lit(1)).over(Window.partitionBy("key"))
-        w = materialize(keyed.withColumn("n", size).where("n > 1"))
-        small = w if level == levels else w.where(F.col("n") <= bucket)
-        pairs = small.select("key", F.col("rep").alias("a")).join(small.select("key", F.col("rep").alias("b")), "key").where("a < b").select("a", "b")
+        pairs = paired(w if level == levels else w.where(F.col("n") <= bucket))
         found = pairs if found is None else found.unionByName(pairs)
-        hot = w.where(F.col("n") > bucket)
+        hot = w.where(F.col("n") > bucket).select("rep", "key", "n")
         if level == levels or not hot.take(1):
             break
         hashes = classes.join(hot.select("rep").distinct(), "rep", "left_semi").select("rep", min_hashes(F.col("runs"), refine * (level + 1)).alias("m"))
-        parts = hot.join(hashes, "rep").select("rep", "key", F.posexplode(F.slice("m", refine * level + 1, refine)).alias("j", "h"))
-        keyed = parts.select("rep", F.xxhash64("key", "j", "h").alias("key")).distinct()
+        parts = hot.select("rep", F.col("key").alias("whole"), F.col("n").alias("all")).join(hashes, "rep").select("rep", "whole", "all", F.posexplode(F.slice("m", refine * level + 1, refine)).alias("j", "h"))
+        parts = materialize(parts.select("rep", "whole", "all", F.xxhash64("whole", "j", "h").alias("key")).withColumn("n", size).where("n > 1"))
+        vain = materialize(parts.groupBy("whole").agg(F.sum(F.col("n") - 1).alias("ends"), F.first("all").alias("all")).where("ends >= all * (all - 1)").select("whole"))
+        found = found.unionByName(paired(hot.join(vain.withColumnRenamed("whole", "key"), "key", "left_semi")))
+        w = parts.join(vain, "whole", "left_anti").select("rep", "key", "n")
     return found.distinct()
 
 
@@ -168,7 +218,7 @@ def classes_of(hashed: DataFrame, key: str = "passage_id") -> tuple[DataFrame, D
 def similar_classes(classes: DataFrame, threshold: float = THRESHOLD, common: int = COMMON, **options) -> DataFrame:
     """(a, b, jaccard): pairs of different classes that reach ``threshold``."""
     flagged, boiler = flag_common(classes, common_runs(classes, common))
-    c = materialize(candidates(variants(flagged, boiler), classes, **options))
+    c = materialize(candidates(variants(flagged, boiler), classes, threshold=threshold, **options))
     touched = c.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     runs = materialize(classes.join(touched, "rep", "left_semi"))
     x = c.join(runs.select(F.col("rep").alias("a"), F.col("runs").alias("ra")), "a").join(runs.select(F.col("rep").alias("b"), F.col("runs").alias("rb")), "b")

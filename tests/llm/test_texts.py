@@ -108,6 +108,19 @@ def test_common_runs_by_join(spark, rows):
         assert ("p0", "q") in got
 
 
+def test_many_copies_of_one_passage(spark, rows):
+    base = [f"w{k}" for k in range(100)]
+    texts = [base[: 1 + i % 97] + [f"own{i}"] + base[2 + i % 97 :] for i in range(150)]
+    own = [runs(" ".join(t)) for t in texts]
+    want = {(f"p{i:03d}", f"p{j:03d}") for j in range(150) for i in range(j) if alike(own[i], own[j])}
+    data = [(f"p{i:03d}", None, " ".join(t)) for i, t in enumerate(texts)]
+    assert len(want) == 11175 and set(rows(N.near_duplicate_pairs(passages(spark, data)))) == want
+    classes, _ = N.prepared(passages(spark, data))
+    flagged, boiler = N.flag_common(classes, N.common_runs(classes, 100))
+    # hot buckets that refining doesn't divide
+    assert len(N.candidates(N.variants(flagged, boiler), classes, bucket=20).collect()) == 11175
+
+
 def test_nothing(spark):
     empty = passages(spark, [])
     assert N.near_duplicate_pairs(empty).collect() == [] and N.near_duplicate_groups(empty).collect() == []
