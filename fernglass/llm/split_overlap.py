@@ -165,10 +165,12 @@ def similar_across(evaluation: DataFrame, training: DataFrame, scheme: Scheme) -
     common = classes.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= scheme.common).select("run")
     coded = materialize(codes(classes, materialize(common), scheme))
     c = materialize(colliding(block_keys(coded, scheme), classes, scheme))
-    bits = 32 * scheme.blocks * scheme.per_block
-    a = coded.where("side").select(F.col("rep").alias("a"), F.col("code").alias("ca"))
-    b = coded.where("not side").select(F.col("rep").alias("b"), F.col("code").alias("cb"))
-    near = materialize(c.join(a, "a").join(b, "b").where(hamming(F.col("ca"), F.col("cb")) <= int(scheme.radius * bits)).select("a", "b"))
+    most = int(scheme.radius * 32 * scheme.blocks * scheme.per_block)
+    a = coded.where("side").select(F.col("rep").alias("a"), F.col("code").alias("ca"), F.col("whole").alias("wa"))
+    b = coded.where("not side").select(F.col("rep").alias("b"), F.col("code").alias("cb"), F.col("whole").alias("wb"))
+    # where the edits are the only rare features, only the codes over all features are alike
+    within = (hamming(F.col("ca"), F.col("cb")) <= most) | F.coalesce(hamming(F.col("wa"), F.col("wb")) <= most, F.lit(False))
+    near = materialize(c.join(a, "a").join(b, "b").where(within).select("a", "b"))
     ra = classes.where("side").join(near.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("a"), F.col("runs").alias("ra"))
     rb = classes.where("not side").join(near.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("b"), F.col("runs").alias("rb"))
     return near.join(ra, "a").join(rb, "b").select("a", "b", jaccard(F.col("ra"), F.col("rb")).alias("jaccard")).where(F.col("jaccard") >= scheme.threshold)

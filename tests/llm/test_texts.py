@@ -162,6 +162,29 @@ def test_overlaps_against_all_pairs(spark, rows):
     assert O.overlaps(a, b.limit(0), passages(spark, [])).collect() == []
 
 
+def copies(n, edits):
+    """A text of 100 words, and ``n`` copies with ``edits`` words substituted in each."""
+    base = [f"w{k}" for k in range(100)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for e in range(edits):
+            w[(7 * i + 40 * e) % 96 + 2] = f"own{i}x{e}"
+        out.append(" ".join(w))
+    return " ".join(base), out
+
+
+def across(spark, held, texts, scheme):
+    a = spark.createDataFrame([("q", held)], "id string, text string")
+    b = spark.createDataFrame([(f"t{i}", x) for i, x in enumerate(texts)], "id string, text string")
+    return O.similar_across(a, b, scheme).count()
+
+
+def test_copies_whose_few_rare_features_are_edits(spark):
+    held, texts = copies(150, 1)
+    assert across(spark, held, texts, O.PASSAGES) == 150
+
+
 def test_trie():
     t = V.Trie()
     for w, n in (("Railway", 5), ("Москва", 3), ("Féte", 2), ("café", 9)):
