@@ -150,22 +150,28 @@ def min_hashes(runs, n: int):
     return F.array(*[least(j) for j in range(n)])
 
 
-def parities(classes: DataFrame) -> DataFrame:
-    """(rep, size, p0, p1, ...): the number of a text's runs, and for each of ``64 * PARITIES`` bits whether an odd number of runs falls on it."""
-    kind = classes.schema["rep"].dataType.simpleString()
+def parities(classes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, size, p0, p1, ...): the number of a text's runs, and for each of ``64 * PARITIES`` bits whether an odd number of runs falls on it."""
+    kinds = ", ".join(f"{k} {classes.schema[k].dataType.simpleString()}" for k in keys)
     names = [f"p{i}" for i in range(PARITIES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = np.diff(np.asarray(b.column(1).offsets, np.int64))
-            u = np.asarray(b.column(1).flatten()).view(np.uint64)
+            n = np.diff(np.asarray(b.column(len(keys)).offsets, np.int64))
+            u = np.asarray(b.column(len(keys)).flatten()).view(np.uint64)
             at = np.repeat(np.arange(len(n)), n) * PARITIES + ((u >> np.uint64(6)) % np.uint64(PARITIES)).astype(np.int64)
             bits = np.zeros(len(n) * PARITIES, np.uint64)
             np.bitwise_xor.at(bits, at, np.uint64(1) << (u & np.uint64(63)))
             columns = bits.view(np.int64).reshape(len(n), PARITIES).T
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=["rep", "size", *names])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys))), pa.array(n.astype(np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=[*keys, "size", *names])
+
+    return classes.select(*keys, "runs").mapInArrow(run, f"{kinds}, size int, " + ", ".join(f"{x} long" for x in names))
 
-    return classes.select("rep", "runs").mapInArrow(run, f"rep {kind}, size int, " + ", ".join(f"{x} long" for x in names))
+
+def may_reach(threshold: float):
+    """Whether the texts of :func:`parities` prefixed x and y may reach the threshold: parities differ in no more bits than there are runs that only one text has."""
+    apart = sum((F.bit_count(F.col(f"xp{i}").bitwiseXOR(F.col(f"yp{i}"))) for i in range(PARITIES)), F.lit(0))
+    return apart <= (F.col("xsize") + F.col("ysize")) * ((1 - threshold) / (1 + threshold)) + 1e-6
 
 
 def candidates(keyed: DataFrame, classes: DataFrame, bucket: int = BUCKET, refine: int = REFINE, levels: int = LEVELS, threshold: float = THRESHOLD) -> DataFrame:
@@ -181,14 +187,12 @@ def candidates(keyed: DataFrame, classes: DataFrame, bucket: int = BUCKET, refin
     after ``levels`` refinements so are the parts, so none is dropped.
     """
 
-    sides = materialize(parities(classes))
+    sides = materialize(parities(classes, ["rep"]))
     x, y = (["key", *(F.col(c).alias(side + c) for c in sides.columns)] for side in "xy")
-    apart = sum((F.bit_count(F.col(f"xp{i}").bitwiseXOR(F.col(f"yp{i}"))) for i in range(PARITIES)), F.lit(0))
-    may = apart <= (F.col("xsize") + F.col("ysize")) * ((1 - threshold) / (1 + threshold)) + 1e-6
 
     def paired(rows: DataFrame) -> DataFrame:
         both = rows.select("rep", "key").join(sides, "rep")
-        return both.select(*x).join(both.select(*y), "key").where(F.col("xrep") < F.col("yrep")).where(may).select(F.col("xrep").alias("a"), F.col("yrep").alias("b"))
+        return both.select(*x).join(both.select(*y), "key").where(F.col("xrep") < F.col("yrep")).where(may_reach(threshold)).select(F.col("xrep").alias("a"), F.col("yrep").alias("b"))
 
     size = F.count(F.lit(1)).over(Window.partitionBy("key"))
     w = materialize(keyed.withColumn("n", size).where("n > 1"))

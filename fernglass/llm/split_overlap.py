@@ -7,9 +7,10 @@ values. Codes are joined across the splits block by block, colliding pairs are
 kept within a Hamming radius over the whole code, and the similarity of what
 remains is verified on the features themselves.
 
-Features that very many texts share tell nothing apart and are left out of the
-code unless a text has hardly any others. A block that is hot all the same is
-refined by further values and never dropped.
+Features that very many texts share tell little apart and are left out of the
+code, but a text that holds any has a second code over all its features, so that
+many copies of one text are found, too. A hot block is refined by further values
+and never dropped.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernglass.llm.near_duplicates import BROADCAST_RUNS, min_hashes
+from fernglass.llm.near_duplicates import BROADCAST_RUNS, may_reach, min_hashes, parities
 from fernglass.llm.shingles import hashed_runs, jaccard, mix
 from fernglass.runtime import materialize
 
@@ -41,7 +42,6 @@ class Scheme:
     per_block: int
     radius: float
     common: int = 100
-    few: int = 4
     bucket: int = 20_000
     refine: int = 8
     levels: int = 3
@@ -56,8 +56,8 @@ QUERIES = Scheme(run=1, threshold=0.7, blocks=20, per_block=1, radius=0.46)
 def codes(classes: DataFrame, common: DataFrame, scheme: Scheme) -> DataFrame:
     """(side, rep, code, whole): the code as longs of two values.
 
-    A text with fewer than ``scheme.few`` features that aren't common has a
-    second code over all its features, ``whole``, which is null for other texts.
+    A text with common features has a second code over all its features,
+    ``whole``. It is null for other texts, whose code is over all of them.
     """
     spark = classes.sparkSession
     if common.count() > BROADCAST_RUNS:
@@ -102,7 +102,7 @@ def codes(classes: DataFrame, common: DataFrame, scheme: Scheme) -> DataFrame:
                 rv, ro = np.asarray(marks.flatten()), np.repeat(np.arange(len(n)), np.diff(np.asarray(marks.offsets, np.int64)))
             rn = np.bincount(ro, minlength=len(n))
             code = least(rv.view(np.uint64), rn)
-            poor = np.nonzero((rn < scheme.few) & (n > 0))[0]
+            poor = np.nonzero(rn < n)[0]
             whole: list[np.ndarray | None] = [None] * len(n)
             if len(poor):
                 of = np.full(len(n), -1)
@@ -121,12 +121,16 @@ def codes(classes: DataFrame, common: DataFrame, scheme: Scheme) -> DataFrame:
 
 def block_keys(coded: DataFrame, scheme: Scheme) -> DataFrame:
     """(side, rep, key): a hash of every block of every code with its place."""
-    x = coded.select("side", "rep", F.explode(F.array(F.struct(F.lit(0).alias("salt"), F.col("code").alias("c")), F.struct(F.lit(1).alias("salt"), F.col("whole").alias("c")))).alias("k"))
-    x = x.select("side", "rep", "k.salt", F.posexplode("k.c").alias("i", "v"))
     if scheme.per_block == 2:
-        return x.select("side", "rep", F.xxhash64("salt", "i", "v").alias("key"))
-    halves = F.explode(F.array(F.xxhash64("salt", "i", F.lit(0), F.shiftrightunsigned("v", 32)), F.xxhash64("salt", "i", F.lit(1), F.shiftleft("v", 32))))
-    return x.select("side", "rep", halves.alias("key"))
+        x = coded.select("side", "rep", F.explode(F.array("code", "whole")).alias("c")).select("side", "rep", F.posexplode("c").alias("i", "v"))
+        return x.select("side", "rep", F.xxhash64("i", "v").alias("key")).distinct()
+    x = coded.select("side", "rep", F.posexplode("code").alias("i", "v"))
+    halves = x.select("side", "rep", F.explode(F.array(F.xxhash64("i", F.lit(0), F.shiftrightunsigned("v", 32)), F.xxhash64("i", F.lit(1), F.shiftleft("v", 32)))).alias("key"))
+    # a single value over all features is too often that of a common word: every two neighbours, the last and the first among them
+    x = coded.select("side", "rep", F.coalesce("whole", "code").alias("c")).select("side", "rep", "c", F.posexplode("c").alias("i", "v"))
+    after = F.shiftrightunsigned(F.element_at("c", (F.col("i") + 1) % F.size("c") + 1), 32)
+    pairs = x.select("side", "rep", F.explode(F.array(F.xxhash64("i", F.lit(2), "v"), F.xxhash64("i", F.lit(3), F.shiftleft("v", 32), after))).alias("key"))
+    return halves.unionByName(pairs).distinct()
 
 
 def hamming(a, b):
@@ -135,22 +139,37 @@ def hamming(a, b):
 
 
 def colliding(keyed: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame:
-    """(a, b) without repeats: evaluation and training texts that share a block; hot blocks are refined."""
+    """(a, b) without repeats: evaluation and training texts that share a block, but for pairs whose parities rule out the threshold.
+
+    Hot blocks are refined; where the parts would hold as many pairs as the block
+    itself (copies of one text), it is joined whole.
+    """
+    sides = materialize(parities(classes, ["side", "rep"]))
+
+    def paired(rows: DataFrame) -> DataFrame:
+        both = rows.select("side", "rep", "key").join(sides, ["side", "rep"])
+        x, y = (both.where(F.col("side") == s).select("key", *(F.col(c).alias(n + c) for c in sides.columns)) for s, n in ((True, "x"), (False, "y")))
+        return x.join(y, "key").where(may_reach(scheme.threshold)).select(F.col("xrep").alias("a"), F.col("yrep").alias("b"))
+
+    def crossing(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy("key")
+        x = rows.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("na", F.count_if("side").over(w))
+        return materialize(x.where("na > 0 and na < n").withColumn("pairs", F.col("na") * (F.col("n") - F.col("na"))).withColumn("others", F.when(F.col("side"), F.col("n") - F.col("na")).otherwise(F.lit(0))).drop("n", "na"))
+
+    s = crossing(keyed)
     found = None
     for level in range(scheme.levels + 1):
-        w = Window.partitionBy("key")
-        sides = keyed.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("na", F.count_if("side").over(w))
-        s = materialize(sides.where("na > 0 and na < n"))
-        pairs_in = F.col("na") * (F.col("n") - F.col("na"))
-        small = s if level == scheme.levels else s.where(pairs_in <= scheme.bucket)
-        p = small.where("side").select("key", F.col("rep").alias("a")).join(small.where("not side").select("key", F.col("rep").alias("b")), "key").select("a", "b")
+        p = paired(s if level == scheme.levels else s.where(F.col("pairs") <= scheme.bucket))
         found = p if found is None else found.unionByName(p)
-        hot = s.where(pairs_in > scheme.bucket)
+        hot = s.where(F.col("pairs") > scheme.bucket).select("side", "rep", "key", "pairs")
         if level == scheme.levels or not hot.take(1):
             break
         hashes = classes.join(hot.select("side", "rep").distinct(), ["side", "rep"], "left_semi").select("side", "rep", F.slice(min_hashes(F.col("runs"), scheme.refine * (level + 1)), scheme.refine * level + 1, scheme.refine).alias("m"))
-        parts = hot.join(hashes, ["side", "rep"]).select("side", "rep", "key", F.posexplode("m").alias("j", "h"))
-        keyed = parts.select("side", "rep", F.xxhash64("key", "j", "h").alias("key")).distinct()
+        parts = hot.select("side", "rep", F.col("key").alias("block"), F.col("pairs").alias("held")).join(hashes, ["side", "rep"]).select("side", "rep", "block", "held", F.posexplode("m").alias("j", "h"))
+        parts = crossing(parts.select("side", "rep", "block", "held", F.xxhash64("block", "j", "h").alias("key")))
+        vain = materialize(parts.groupBy("block").agg(F.sum("others").alias("n"), F.first("held").alias("held")).where("n >= held").select("block"))
+        found = found.unionByName(paired(hot.join(vain.withColumnRenamed("block", "key"), "key", "left_semi")))
+        s = parts.join(vain, "block", "left_anti").select("side", "rep", "key", "pairs", "others")
     return found.distinct()
 
 
@@ -166,10 +185,10 @@ def similar_across(evaluation: DataFrame, training: DataFrame, scheme: Scheme) -
     coded = materialize(codes(classes, materialize(common), scheme))
     c = materialize(colliding(block_keys(coded, scheme), classes, scheme))
     most = int(scheme.radius * 32 * scheme.blocks * scheme.per_block)
-    a = coded.where("side").select(F.col("rep").alias("a"), F.col("code").alias("ca"), F.col("whole").alias("wa"))
-    b = coded.where("not side").select(F.col("rep").alias("b"), F.col("code").alias("cb"), F.col("whole").alias("wb"))
-    # where the edits are the only rare features, only the codes over all features are alike
-    within = (hamming(F.col("ca"), F.col("cb")) <= most) | F.coalesce(hamming(F.col("wa"), F.col("wb")) <= most, F.lit(False))
+    a = coded.where("side").select(F.col("rep").alias("a"), F.col("code").alias("ca"), F.coalesce("whole", "code").alias("wa"))
+    b = coded.where("not side").select(F.col("rep").alias("b"), F.col("code").alias("cb"), F.coalesce("whole", "code").alias("wb"))
+    # where the edits are most of the rare features, only the codes over all features are alike
+    within = (hamming(F.col("ca"), F.col("cb")) <= most) | (hamming(F.col("wa"), F.col("wb")) <= most)
     near = materialize(c.join(a, "a").join(b, "b").where(within).select("a", "b"))
     ra = classes.where("side").join(near.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("a"), F.col("runs").alias("ra"))
     rb = classes.where("not side").join(near.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("b"), F.col("runs").alias("rb"))

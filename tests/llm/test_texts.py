@@ -185,6 +185,16 @@ def test_copies_whose_few_rare_features_are_edits(spark):
     assert across(spark, held, texts, O.PASSAGES) == 150
 
 
+def test_copies_whose_rare_features_are_edits(spark):
+    held, texts = copies(150, 2)
+    assert across(spark, held, texts, O.PASSAGES) == 150
+    # questions: 24 words that all texts share, 4 of each alone
+    shared = " ".join(f"w{k}" for k in range(24))
+    asked = [shared + " " + " ".join(f"o{i}x{k}" for k in range(4)) for i in range(150)]
+    assert across(spark, shared + " a b c", asked[:1], O.QUERIES) == 1
+    assert across(spark, shared + " a b c", asked, O.QUERIES) == 150
+
+
 def test_trie():
     t = V.Trie()
     for w, n in (("Railway", 5), ("Москва", 3), ("Féte", 2), ("café", 9)):
