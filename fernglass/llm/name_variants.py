@@ -30,6 +30,7 @@ SHORTEST_SUFFIX = 4
 BLOCK = 40  # nodes a suffix may have before it is refined
 RATIO, RATIO_SHORT = 0.84, 0.8  # of tokens from 7 letters on, and of those of 5 or 6
 TOKENS = 7  # names of more tokens only match in the order of their tokens
+ABBREVIATED = 6  # letters up to which a token may abbreviate another by some of its letters
 ALIASES = 100_000  # rows the table of short forms may have
 EXPANDED = 400  # spellings of an entity that are paired with each other; beyond, each is paired with the most common one
 
@@ -86,7 +87,7 @@ def token_match(a: str, b: str) -> int:
         a, b = b, a
     if len(a) >= 5 and 2 * common_subsequence(a, b) >= (RATIO if len(b) >= 7 else RATIO_SHORT) * (len(a) + len(b)):
         return 2
-    if a[0] == b[0] and (len(a) == 1 or b.startswith(a) or (len(a) <= len(b) - 1 and len(a) <= 6 and subsequence(a, b))):
+    if a[0] == b[0] and (len(a) == 1 or b.startswith(a) or (len(a) <= len(b) - 1 and len(a) <= ABBREVIATED and subsequence(a, b))):
         return 1
     return 0
 
@@ -154,27 +155,51 @@ def _ends(token, shortest: int):
 
 
 def blocks(nodes: DataFrame, shortest: int = SHORTEST_SUFFIX) -> DataFrame:
-    """(node, key, first, second): suffix keys, and the refinements of each by the other tokens."""
+    """(node, key, first, second, others): suffix keys, the refinements of each by the other tokens, and these."""
     t = nodes.select("node", F.split("node", " ").alias("t")).where(F.size("t") > 1)
     p = t.select("node", "t", F.posexplode("t").alias("i", "token"))
     others = F.filter("t", lambda x, j: j != F.col("i"))
     first = F.array_distinct(F.concat(F.transform(others, lambda o: F.concat(F.lit(">"), F.left(o, F.lit(1)))), F.transform(F.filter(others, lambda o: F.length(o) > 3), lambda o: F.concat(F.lit("<"), F.right(o, F.lit(3))))))
     second = F.array_distinct(F.concat(F.transform(others, lambda o: F.concat(F.lit(">"), F.left(o, F.lit(3)))), F.transform(F.filter(others, lambda o: F.length(o) > 4), lambda o: F.concat(F.lit("<"), F.right(o, F.lit(4))))))
-    return p.select("node", F.explode(F.array_distinct(_ends(F.col("token"), shortest))).alias("key"), first.alias("first"), second.alias("second"))
+    return p.select("node", F.explode(F.array_distinct(_ends(F.col("token"), shortest))).alias("key"), first.alias("first"), second.alias("second"), others.alias("others"))
+
+
+def _abbreviations(others, r):
+    """Beginnings of those tokens that may abbreviate another, where their first letter is that of ``r``."""
+    return F.array_distinct(F.transform(F.filter(others, lambda o: (F.length(o) <= ABBREVIATED) & (F.concat(F.lit(">"), F.left(o, F.lit(1))) == r)), lambda o: F.left(o, F.lit(3))))
+
+
+def _abbreviated(others, r):
+    """What the tokens with the first letter of ``r`` may be abbreviated to, as far as three letters."""
+
+    def of(o):
+        c = F.array_distinct(F.split(F.substring(o, 2, 1_000_000), ""))
+        pairs = F.flatten(F.transform(F.sequence(F.lit(2), F.length(o)), lambda i: F.transform(F.array_distinct(F.split(F.substr(o, i + 1), "")), lambda x: F.concat(F.left(o, F.lit(1)), F.substr(o, i, F.lit(1)), x))))
+        return F.concat(F.array(F.left(o, F.lit(1))), F.transform(c, lambda x: F.concat(F.left(o, F.lit(1)), x)), pairs)
+
+    return F.array_distinct(F.flatten(F.transform(F.filter(others, lambda o: (F.length(o) > 1) & (F.concat(F.lit(">"), F.left(o, F.lit(1))) == r)), of)))
 
 
 def candidates(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b, without repeats: nodes that share a suffix, refined where it is common; none is dropped."""
-    rows = blocks(nodes).select("node", F.xxhash64("key").alias("key"), "first", "second")
+    """(a, b), a < b, without repeats: nodes that share a suffix, refined where it is common.
+
+    In the last refinement, tokens meet by their beginnings and endings, and short
+    ones also with every token that they may abbreviate.
+    """
+    rows = blocks(nodes).select("node", F.xxhash64("key").alias("key"), "first", "second", "others")
     size = F.count(F.lit(1)).over(Window.partitionBy("key"))
     rows = materialize(rows.withColumn("n", size).where("n > 1"))
     kept = [rows.where(F.col("n") <= block).select("node", "key")]
-    wide = rows.where(F.col("n") > block).select("node", F.explode("first").alias("r"), "key", "second").select("node", F.xxhash64("key", "r").alias("key"), "second")
+    wide = rows.where(F.col("n") > block).select("node", F.explode("first").alias("r"), "key", "second", "others").select("node", F.xxhash64("key", "r").alias("key"), "second", "others", "r")
     wide = materialize(wide.withColumn("n", size).where("n > 1"))
     kept.append(wide.where(F.col("n") <= block).select("node", "key"))
-    kept.append(wide.where(F.col("n") > block).select("node", F.explode("second").alias("r"), "key").select("node", F.xxhash64("key", "r").alias("key")))
+    hot = wide.where(F.col("n") > block)
+    kept.append(hot.select("node", F.explode("second").alias("r"), "key").select("node", F.xxhash64("key", "r").alias("key")))
+    begins = hot.where(F.col("r").startswith(">"))
+    short, full = (begins.select("node", "key", F.explode(f(F.col("others"), F.col("r"))).alias("x")) for f in (_abbreviations, _abbreviated))
+    met = short.withColumnRenamed("node", "s").join(full.withColumnRenamed("node", "f"), ["key", "x"]).where("s <> f").select(F.least("s", "f").alias("a"), F.greatest("s", "f").alias("b"))
     every = kept[0].unionByName(kept[1]).unionByName(kept[2])
-    return every.select(F.col("node").alias("a"), "key").join(every.select(F.col("node").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
+    return every.select(F.col("node").alias("a"), "key").join(every.select(F.col("node").alias("b"), "key"), "key").where("a < b").select("a", "b").unionByName(met).distinct()
 
 
 def links(pairs: DataFrame) -> DataFrame:

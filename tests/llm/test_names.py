@@ -101,3 +101,16 @@ def test_common_suffixes_are_refined(spark, rows):
     wide = {tuple(r) for r in V.candidates(df, 10**6).collect()}
     tight = {tuple(r) for r in V.candidates(df, 5).collect()}
     assert tight <= wide and any("surnaxa07ekan" in a + b and "surnama07ekan" in a + b for a, b in wide)
+
+
+def test_abbreviations_in_common_blocks(spark):
+    last = "fomvesselkan"
+    given = [f"j{c}{d}nrila" for c in "aeiou" for d in "bdfghklm"]
+    short = ["j", "ja", "jnrl", "jbrla"]
+    df = spark.createDataFrame([(" ".join(sorted((g, last))),) for g in given + short], "node string")
+    for block in (1, 5):
+        got = {frozenset(p) for p in V.candidates(df, block).collect()}
+        for a in short:
+            for b in given:
+                x, y = sorted((a, last)), sorted((b, last))
+                assert not V.names_match(x, y) or frozenset((" ".join(x), " ".join(y))) in got, (a, b, block)
