@@ -32,7 +32,7 @@ RATIO, RATIO_SHORT = 0.84, 0.8  # of tokens from 7 letters on, and of those of 5
 TOKENS = 7  # names of more tokens only match in the order of their tokens
 ABBREVIATED = 6  # letters up to which a token may abbreviate another by some of its letters
 ALIASES = 100_000  # rows the table of short forms may have
-EXPANDED = 400  # spellings of an entity that are paired with each other; beyond, each is paired with the most common one
+PART = 400  # spellings of an entity in a part; the parts of a larger one are paired with the whole, each on its own
 
 # Titles that may precede a name, and words that join a name's parts.
 TITLES = {"mr", "mrs", "ms", "miss", "mx", "dr", "prof", "professor", "sir", "dame", "lord", "lady", "rev", "hon", "capt", "captain", "col", "gen", "lt", "sgt", "maj", "st", "saint", "madam", "judge", "justice", "president", "senator"}
@@ -231,13 +231,14 @@ def entities(names: DataFrame, edges: DataFrame) -> DataFrame:
     return x.drop("type").join(known.unionByName(guessed), "entity")
 
 
-def variant_pairs(triples: DataFrame, raw_triples: DataFrame, name_aliases: DataFrame, expanded: int = EXPANDED) -> DataFrame:
+def variant_pairs(triples: DataFrame, raw_triples: DataFrame, name_aliases: DataFrame, expanded: int | None = None) -> DataFrame:
     """(name_a, name_b), name_a < name_b: different strings for one person or organisation that don't merely look identical.
 
     Nulls and empty strings name nobody. Entities of other types, and those of
     which neither a row nor a token tells the type, have no rows. Repeated rows
-    change nothing. An entity with more than ``expanded`` spellings pairs each
-    with its most common one.
+    change nothing. All pairs of an entity are listed, however many; only where
+    ``expanded`` is given, an entity with more spellings pairs each with its most
+    common one.
     """
     names = materialize(parsed(spellings(triples, raw_triples), alias_map(name_aliases)))
     nodes = names.select("node").where("node <> ''").distinct()
@@ -245,8 +246,13 @@ def variant_pairs(triples: DataFrame, raw_triples: DataFrame, name_aliases: Data
     e = materialize(entities(names, edges).where(F.col("type").isin("PERSON", "ORG")).select("entity", "name", "look", "n"))
     size = e.groupBy("entity").agg(F.count(F.lit(1)).alias("size"), F.max_by(F.struct("name", "look"), F.struct("n", "name")).alias("top"))
     x = e.join(size.where("size > 1"), "entity")
-    small = x.where(F.col("size") <= expanded)
-    full = small.select("entity", F.col("name").alias("x"), F.col("look").alias("lx")).join(small.select("entity", F.col("name").alias("y"), F.col("look").alias("ly")), "entity").where("x < y and lx <> ly")
+    small = x if expanded is None else x.where(F.col("size") <= expanded)
+    last = F.floor((F.col("size") - 1) / PART)
+    left = small.select("entity", F.pmod(F.xxhash64("name"), last + 1).alias("part"), F.col("name").alias("x"), F.col("look").alias("lx"))
+    right = small.select("entity", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"), F.col("name").alias("y"), F.col("look").alias("ly"))
+    full = left.join(right, ["entity", "part"]).where("x < y and lx <> ly")
+    if expanded is None:
+        return full.select(F.col("x").alias("name_a"), F.col("y").alias("name_b"))
     star = x.where(F.col("size") > expanded).where("look <> top.look").select(F.least("name", "top.name").alias("x"), F.greatest("name", "top.name").alias("y"))
     return full.select("x", "y").unionByName(star).select(F.col("x").alias("name_a"), F.col("y").alias("name_b"))
 

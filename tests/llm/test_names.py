@@ -114,3 +114,13 @@ def test_abbreviations_in_common_blocks(spark):
             for b in given:
                 x, y = sorted((a, last)), sorted((b, last))
                 assert not V.names_match(x, y) or frozenset((" ".join(x), " ".join(y))) in got, (a, b, block)
+
+
+def test_large_entities_are_listed_whole(spark):
+    base = "bastirel fomvesselkan"
+    names = ["".join(c.upper() if i >> k & 1 else c for k, c in enumerate(base)) for i in range(256, 256 + 410)]
+    names = sorted(set(names))
+    t = spark.createDataFrame([(n, None, "PERSON", None, "", "") for n in names], TR)
+    r = spark.createDataFrame([], RAW)
+    got = V.variant_pairs(t, r, spark.createDataFrame([], "short_form string, long_form string")).collect()
+    assert len(names) > 400 and len(got) == len(set(got)) == len(names) * (len(names) - 1) // 2
