@@ -28,7 +28,6 @@ from fernglass.llm.lookalike import LOOKALIKE, fold, ignorable
 from fernglass.runtime import materialize
 
 TOKENS_A_TRIE = 20_000
-EXPANDED = 2_500  # pairs of two groups of identical values that are listed one by one; beyond, each side meets the other's smallest key
 NOT_ASCII = r"[^\x00-\x7F]"
 _BLANK = re.compile(r"(\s+)")
 
@@ -200,11 +199,11 @@ def fields(passages: DataFrame, triples: DataFrame) -> DataFrame:
     return p.unionByName(s).where("value is not null")
 
 
-def look_alike_pairs(passages: DataFrame, triples: DataFrame, expanded: int = EXPANDED) -> DataFrame:
+def look_alike_pairs(passages: DataFrame, triples: DataFrame, expanded: int | None = None) -> DataFrame:
     """(field, key_a, key_b), key_a < key_b: values that differ as strings and look the same.
 
-    Groups of identical values are paired in full while both together make at most
-    ``expanded`` pairs; beyond, each key of one meets the smallest key of the other.
+    Groups of identical values are paired in full; only where ``expanded`` is given,
+    two that make more pairs are not: each key of one meets the other's smallest.
     Nulls look like nothing; repeated rows and repeated ids change nothing.
     """
     values = materialize(fields(passages, triples).select("field", "key", "value", F.md5("value").alias("vid")))
@@ -217,7 +216,7 @@ def look_alike_pairs(passages: DataFrame, triples: DataFrame, expanded: int = EX
     several = F.min("vid").over(Window.partitionBy("field", "form")) < F.max("vid").over(Window.partitionBy("field", "form"))
     rows = materialize(rows.withColumn("several", several).where("several").drop("several"))
     groups = rows.groupBy("field", "form", "vid").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))
-    both = groups.alias("a").join(groups.alias("b"), ["field", "form"]).where("a.vid < b.vid").select("field", "form", F.col("a.vid").alias("va"), F.col("b.vid").alias("vb"), F.col("a.first").alias("fa"), F.col("b.first").alias("fb"), (F.col("a.n") * F.col("b.n") <= expanded).alias("full"))
+    both = groups.alias("a").join(groups.alias("b"), ["field", "form"]).where("a.vid < b.vid").select("field", "form", F.col("a.vid").alias("va"), F.col("b.vid").alias("vb"), F.col("a.first").alias("fa"), F.col("b.first").alias("fb"), (F.lit(True) if expanded is None else F.col("a.n") * F.col("b.n") <= expanded).alias("full"))
     member = lambda v, k: rows.select("field", "form", F.col("vid").alias(v), F.col("key").alias(k))
     full = both.where("full").join(member("va", "x"), ["field", "form", "va"]).join(member("vb", "y"), ["field", "form", "vb"]).select("field", "x", "y")
     one = both.where("not full").join(member("va", "x"), ["field", "form", "va"]).select("field", "x", F.col("fb").alias("y"))

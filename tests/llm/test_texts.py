@@ -220,3 +220,9 @@ def test_look_alikes(spark, rows):
     assert forms["title", "a"] == forms["title", "b"] == forms["title", "c"] == "Café Bar" and forms["subject", "Ann Lее"] == "Ann Lee"
     empty = passages(spark, [])
     assert V.look_alike_pairs(empty, t.limit(0)).collect() == []
+
+
+def test_look_alikes_of_large_groups(spark):
+    data = [(f"a{i:02d}", "Café Bar", f"x{i}") for i in range(60)] + [(f"b{i:02d}", "Сafé Bar", f"y{i}") for i in range(50)]
+    got = V.look_alike_pairs(passages(spark, data), spark.createDataFrame([], TRIPLE)).collect()
+    assert len(got) == len(set(got)) == 3000
