@@ -1,22 +1,21 @@
 """Problem 1: near-duplicate texts by meet-in-the-middle ball hashing.
 
-A text's fingerprint is a small set: of the text's runs of three words, those
-with the least hashes. As a bit vector over all runs it has few bits set, and two
-fingerprints lie within radius r if at most r bits tell them apart. Every
-fingerprint emits all variants within half the radius, that is with up to r/2 of
-its bits cleared; two fingerprints within the radius have a variant in common,
-the meeting point in their middle. (Setting foreign bits adds no meeting point
-that clearing doesn't already give: both sides can always clear down to their
-intersection.) Variants are shuffled, colliding texts paired without repeats, and
-each pair verified on all its runs.
-
-Several fingerprints under different hash functions make a miss unlikely: for a
-pair at the threshold, 4 bits of which 2 may be cleared miss with 0.31, six such
-fingerprints with 0.001; the more alike, the less. A text that holds runs which
-very many texts share (boilerplate, or a passage copied again and again) has six
-fingerprints over all its runs, and six more into which shared runs come only
-when nothing else is left. A large bucket is refined by further hashes, and never
-dropped.
+A fingerprint is a bit vector over all runs of three words, of constant weight: the
+bits set are the text's ``BITS`` runs of least hash. Two fingerprints lie within
+radius r if at most r bits tell them apart, and every fingerprint emits the
+variants within half the radius, r/2 of its bits cleared; two fingerprints within
+the radius have a variant in common, the meeting point in their middle. Since all
+weigh the same, two at a distance up to r share at least ``BITS - r/2`` bits, so
+the variants with exactly r/2 bits cleared hold every meeting point: those with
+fewer cleared meet only where one of these meets, too, and those with foreign bits
+set give no point that clearing doesn't. Variants are shuffled, colliding texts
+paired without repeats (:mod:`pairing`), and each pair verified on all its runs.
+
+Six fingerprints under different hash functions make a miss unlikely: for a pair at
+the threshold, 4 bits of which 2 may be cleared miss with 0.31, six such
+fingerprints with 0.001; the more alike, the less. How many texts hold a run plays
+no part in the fingerprints, so the chance is the same in a pair and in a family of
+any number of edited copies.
 """
 
 from __future__ import annotations
@@ -26,22 +25,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernglass.llm.shingles import M1, M2, hashed_runs, jaccard, mix
+from fernglass.llm.pairing import Bound, colliding, verified
+from fernglass.llm.shingles import BATCH, M1, M2, Hasher, distinct_within, hashed_runs, mix, runs, sequence_hash
 from fernglass.runtime import materialize
 
 RUN = 3  # words
 THRESHOLD = 0.5
 SKETCHES, BITS, CLEARED = 6, 4, 2
-COMMON = 100  # texts that share a run, from which on it counts as boilerplate
-BROADCAST_RUNS = 1_000_000  # boilerplate runs that may be broadcast (8 bytes each); beyond, they are joined
-BUCKET = 200  # texts in a bucket, from which on it is refined
-REFINE = 8  # further hashes a refined bucket is divided by; each text goes into as many parts
-LEVELS = 3
 PARITIES = 8  # longs of a text's parities
-EXPANDED = 50  # exact copies that are listed pair by pair; larger groups are a star around their smallest id
+EXPANDED = 50  # texts of the same words that are listed pair by pair; larger groups are a star around their smallest id
 
 
 def texts_of(passages: DataFrame) -> DataFrame:
@@ -49,225 +44,145 @@ def texts_of(passages: DataFrame) -> DataFrame:
     return passages.where("text is not null and text <> '' and passage_id is not null").select("passage_id", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("text")).alias("text"))
 
 
-def common_runs(classes: DataFrame, at_least: int) -> DataFrame:
-    """(run): every run that at least ``at_least`` classes hold."""
-    return classes.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least).select("run")
-
-
-def flag_common(classes: DataFrame, common: DataFrame, limit: int = BROADCAST_RUNS) -> tuple[DataFrame, np.ndarray | None]:
-    """Common runs for the sketches: as a sorted array while they are at most ``limit``, else joined into a column ``common``."""
-    common = materialize(common)
-    if common.count() <= limit:
-        found = np.sort(common.toArrow().column("run").to_numpy())
-        return classes.withColumn("common", F.array().cast("array<long>")), found
-    per = classes.select("rep", F.explode("runs").alias("run")).join(common, "run", "left_semi").groupBy("rep").agg(F.sort_array(F.collect_list("run")).alias("common"))
-    return classes.join(per, "rep", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>"))), None
-
-
-def _subsets(bits: int, left: int) -> np.ndarray:
-    return np.array(list(combinations(range(bits), left)))
-
-
-def variants(classes: DataFrame, common: np.ndarray | None, sketches: int = SKETCHES, bits: int = BITS, cleared: int = CLEARED) -> DataFrame:
-    """(rep, keys): hashes of all variants within half the radius of all fingerprints of a text.
+def variants(v: np.ndarray, offsets: np.ndarray, sketches: int = SKETCHES, bits: int = BITS, cleared: int = CLEARED) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, offsets): hashes of the variants of all fingerprints of each text, given its distinct runs.
 
     Texts of at most ``2 * bits`` runs also emit their single bits: there the
     radius is a large part of the fingerprint.
     """
-    spark = classes.sparkSession
-    held = spark.sparkContext.broadcast(common) if common is not None else None
-    left = bits - cleared
-    subsets = _subsets(bits, left)
+    n = np.diff(offsets)
+    some = np.nonzero(n)[0]
+    full = np.uint64(0xFFFFFFFFFFFFFFFF)
     seeds = np.arange(1, sketches + 1, dtype=np.uint64) * M2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(1)
-            offsets = np.asarray(lists.offsets, np.int64)
-            v = np.asarray(lists.values)[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
-            n = np.diff(offsets)
-            owner = np.repeat(np.arange(len(n)), n)
-            if held is not None:
-                c = held.value
-                at = np.searchsorted(c, v)
-                boiler = (c[np.minimum(at, len(c) - 1)] == v) if len(c) else np.zeros(len(v), bool)
-            else:
-                marks = b.column(2)
-                mo = np.repeat(np.arange(len(n)), np.diff(np.asarray(marks.offsets, np.int64)))
-                mv = np.asarray(marks.flatten())
-                boiler = np.isin(mix(v.view(np.uint64) + owner.astype(np.uint64) * M1), mix(mv.view(np.uint64) + mo.astype(np.uint64) * M1))
-            keys: list[np.ndarray] = []
-            owners: list[np.ndarray] = []
-
-            def emit(v: np.ndarray, owner: np.ndarray, n: np.ndarray, boiler: np.ndarray, few: np.ndarray) -> None:
-                u = v.view(np.uint64)
-                first = np.repeat(np.cumsum(n) - n, n)
-                rank = np.arange(len(v)) - first
-                for s in range(sketches):
-                    h = mix(u + seeds[s])
-                    order = np.lexsort((h, boiler, owner))
-                    # the least hashes of each text stand first among its runs
-                    top = order[rank < bits]
-                    rows = np.full((len(n), bits), 0, np.uint64)
-                    there = np.zeros((len(n), bits), bool)
-                    o, r = owner[top], rank[rank < bits]
-                    rows[o, r], there[o, r] = mix(u[top]), True
-                    for subset in subsets:
-                        ok = there[:, subset].all(axis=1)
-                        # a sum doesn't depend on the order of the bits
-                        keys.append(mix(rows[:, subset].sum(axis=1, dtype=np.uint64))[ok])
-                        owners.append(np.nonzero(ok)[0])
-                    o, r = np.nonzero(few[:, None] & there)
-                    keys.append(mix(rows[o, r] * M1))
-                    owners.append(o)
-
-            few = n <= 2 * bits
-            emit(v, owner, n, boiler, few)
-            # where common runs went last, fingerprints over all runs as well; elsewhere both are the same
-            some = np.bincount(owner[boiler], minlength=len(n)) > 0
-            inside = some[owner]
-            emit(v[inside], owner[inside], np.where(some, n, 0), np.zeros(int(inside.sum()), bool), few)
-            k, o = np.concatenate(keys), np.concatenate(owners)
-            order = np.lexsort((k, o))
-            k, o = k[order], o[order]
-            keep = np.ones(len(k), bool)
-            keep[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
-            k, o = k[keep], o[keep]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(o)), pa.array(k.view(np.int64))], names=["rep", "key"])
-
-    kind = classes.schema["rep"].dataType.simpleString()
-    return classes.where(F.size("runs") > 0).select("rep", "runs", "common").mapInArrow(run, f"rep {kind}, key long")
-
-
-def min_hashes(runs, n: int):
-    """``n`` least hashes of an array under different hash functions."""
-
-    def least(j: int):
-        # a lambda's second parameter, even one with a default, would be the place in the array
-        return F.array_min(F.transform(runs, lambda x: F.xxhash64(x, F.lit(j))))
-
-    return F.array(*[least(j) for j in range(n)])
-
-
-def parities(classes: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, size, p0, p1, ...): the number of a text's runs, and for each of ``64 * PARITIES`` bits whether an odd number of runs falls on it."""
-    kinds = ", ".join(f"{k} {classes.schema[k].dataType.simpleString()}" for k in keys)
-    names = [f"p{i}" for i in range(PARITIES)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = np.diff(np.asarray(b.column(len(keys)).offsets, np.int64))
-            u = np.asarray(b.column(len(keys)).flatten()).view(np.uint64)
-            at = np.repeat(np.arange(len(n)), n) * PARITIES + ((u >> np.uint64(6)) % np.uint64(PARITIES)).astype(np.int64)
-            bits = np.zeros(len(n) * PARITIES, np.uint64)
-            np.bitwise_xor.at(bits, at, np.uint64(1) << (u & np.uint64(63)))
-            columns = bits.view(np.int64).reshape(len(n), PARITIES).T
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys))), pa.array(n.astype(np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=[*keys, "size", *names])
-
-    return classes.select(*keys, "runs").mapInArrow(run, f"{kinds}, size int, " + ", ".join(f"{x} long" for x in names))
-
-
-def may_reach(threshold: float):
-    """Whether the texts of :func:`parities` prefixed x and y may reach the threshold: parities differ in no more bits than there are runs that only one text has."""
-    apart = sum((F.bit_count(F.col(f"xp{i}").bitwiseXOR(F.col(f"yp{i}"))) for i in range(PARITIES)), F.lit(0))
-    return apart <= (F.col("xsize") + F.col("ysize")) * ((1 - threshold) / (1 + threshold)) + 1e-6
-
-
-def candidates(keyed: DataFrame, classes: DataFrame, bucket: int = BUCKET, refine: int = REFINE, levels: int = LEVELS, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b), a < b, without repeats: texts that share a key, but for pairs that certainly stay below ``threshold``.
-
-    Two texts' parities differ in no more bits than there are runs that only one
-    of them has; a pair with more such bits than ``threshold`` allows is left out.
-
-    A key of more than ``bucket`` texts is replaced by ``refine`` keys, each with
-    one more least hash of the text: a pair at the threshold keeps one of them
-    with probability 1 - 0.5 ** refine. Where the parts would hold as many pairs
-    as the key itself (copies of one text), the key is joined whole instead, and
-    after ``levels`` refinements so are the parts, so none is dropped.
+    keys, owners = [], []
+    if len(some):
+        starts, size = offsets[:-1][some], n[some]
+        owner = np.repeat(np.arange(len(some)), size)
+        few = size <= 2 * bits
+        for seed in seeds:
+            h = mix(v + seed)
+            bit = np.zeros((len(some), bits), np.uint64)
+            for k in range(bits):
+                at = np.nonzero((h == np.repeat(np.minimum.reduceat(h, starts), size)) & (h != full))[0]
+                bit[owner[at], k] = mix(v[at])
+                h[at] = full
+            there = np.arange(bits)[None, :] < size[:, None]
+            for subset in map(list, combinations(range(bits), bits - cleared)):
+                ok = there[:, subset].all(axis=1)
+                # a sum doesn't depend on the order of the bits
+                keys.append(mix(bit[:, subset].sum(axis=1, dtype=np.uint64))[ok])
+                owners.append(some[ok])
+            o, k = np.nonzero(few[:, None] & there)
+            keys.append(mix(bit[o, k] * M1))
+            owners.append(some[o])
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    return distinct_within(np.concatenate(keys), np.concatenate(owners), len(n))
+
+
+def parities(v: np.ndarray, offsets: np.ndarray, longs: int = PARITIES) -> np.ndarray:
+    """(longs, texts): for each of ``64 * longs`` bits whether an odd number of the text's runs falls on it."""
+    n = np.diff(offsets)
+    at = np.repeat(np.arange(len(n)), n) * longs + ((v >> np.uint64(6)) % np.uint64(longs)).astype(np.int64)
+    bits = np.zeros(len(n) * longs, np.uint64)
+    np.bitwise_xor.at(bits, at, np.uint64(1) << (v & np.uint64(63)))
+    return np.ascontiguousarray(bits.view(np.int64).reshape(len(n), longs).T)
+
+
+def bound(threshold: float) -> Bound:
+    """Parities differ in no more bits than there are runs that only one of two texts has, so this loses no pair."""
+    return Bound(PARITIES, threshold, 1e-6, (1 - threshold) / (1 + threshold))
+
+
+def fingerprints(texts: DataFrame) -> DataFrame:
+    """(passage_id, id, size, keys, f0, f1, ...) of (passage_id, text): a hash of the sequence of words, the number of runs, the variants, and the parities.
+
+    Texts of the same words have the same ``id``, whatever separates them.
     """
 
-    sides = materialize(parities(classes, ["rep"]))
-    x, y = (["key", *(F.col(c).alias(side + c) for c in sides.columns)] for side in "xy")
-
-    def paired(rows: DataFrame) -> DataFrame:
-        both = rows.select("rep", "key").join(sides, "rep")
-        return both.select(*x).join(both.select(*y), "key").where(F.col("xrep") < F.col("yrep")).where(may_reach(threshold)).select(F.col("xrep").alias("a"), F.col("yrep").alias("b"))
-
-    size = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    w = materialize(keyed.withColumn("n", size).where("n > 1"))
-    found = None
-    for level in range(levels + 1):
-        pairs = paired(w if level == levels else w.where(F.col("n") <= bucket))
-        found = pairs if found is None else found.unionByName(pairs)
-        hot = w.where(F.col("n") > bucket).select("rep", "key", "n")
-        if level == levels or not hot.take(1):
-            break
-        hashes = classes.join(hot.select("rep").distinct(), "rep", "left_semi").select("rep", min_hashes(F.col("runs"), refine * (level + 1)).alias("m"))
-        parts = hot.select("rep", F.col("key").alias("whole"), F.col("n").alias("all")).join(hashes, "rep").select("rep", "whole", "all", F.posexplode(F.slice("m", refine * level + 1, refine)).alias("j", "h"))
-        parts = materialize(parts.select("rep", "whole", "all", F.xxhash64("whole", "j", "h").alias("key")).withColumn("n", size).where("n > 1"))
-        vain = materialize(parts.groupBy("whole").agg(F.sum(F.col("n") - 1).alias("ends"), F.first("all").alias("all")).where("ends >= all * (all - 1)").select("whole"))
-        found = found.unionByName(paired(hot.join(vain.withColumnRenamed("whole", "key"), "key", "left_semi")))
-        w = parts.join(vain, "whole", "left_anti").select("rep", "key", "n")
-    return found.distinct()
-
-
-def classes_of(hashed: DataFrame, key: str = "passage_id") -> tuple[DataFrame, DataFrame]:
-    """((rep, runs), (rep, id)): texts of the same words are one class, represented by its smallest id."""
-    reps = hashed.groupBy("form").agg(F.min(key).alias("rep"), F.min_by("runs", key).alias("runs"))
-    members = hashed.select("form", key).join(reps.select("form", "rep"), "form").select("rep", F.col(key).alias("id")).distinct()
-    return reps.select("rep", "runs"), members
-
-
-def similar_classes(classes: DataFrame, threshold: float = THRESHOLD, common: int = COMMON, **options) -> DataFrame:
-    """(a, b, jaccard): pairs of different classes that reach ``threshold``."""
-    flagged, boiler = flag_common(classes, common_runs(classes, common))
-    c = materialize(candidates(variants(flagged, boiler), classes, threshold=threshold, **options))
-    touched = c.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    runs = materialize(classes.join(touched, "rep", "left_semi"))
-    x = c.join(runs.select(F.col("rep").alias("a"), F.col("runs").alias("ra")), "a").join(runs.select(F.col("rep").alias("b"), F.col("runs").alias("rb")), "b")
-    return x.select("a", "b", jaccard(F.col("ra"), F.col("rb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
-
-
-def prepared(passages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes and members of the passages, written once."""
-    hashed = materialize(hashed_runs(texts_of(passages), RUN, ["passage_id"]))
-    classes, members = classes_of(hashed)
-    return materialize(classes), materialize(members)
-
-
-def near_duplicate_pairs(passages: DataFrame, threshold: float = THRESHOLD, expanded: int = EXPANDED) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                b = whole.slice(at, BATCH)
+                ids, n = hasher.ids(b.column(1).to_pylist())
+                v, offsets = distinct_within(*runs(ids, n, RUN), b.num_rows)
+                keys, ends = variants(v, offsets)
+                listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.view(np.int64)))
+                columns = [b.column(0), pa.array(sequence_hash(ids, n).view(np.int64)), pa.array(np.diff(offsets).astype(np.int32)), listed, *map(pa.array, parities(v, offsets))]
+                yield pa.RecordBatch.from_arrays(columns, names=["passage_id", "id", "size", "keys", *(f"f{i}" for i in range(PARITIES))])
+
+    kind = texts.schema["passage_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"passage_id {kind}, id long, size int, keys array<long>, " + ", ".join(f"f{i} long" for i in range(PARITIES)))
+
+
+def once(prints: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each value of ``keys``; only rows whose keys repeat are shuffled whole."""
+    n = prints.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    several = prints.join(n, keys, "left_semi")
+    rest = [F.first(c).alias(c) for c in prints.columns if c not in keys]
+    return prints.join(n, keys, "left_anti").unionByName(several.groupBy(*keys).agg(*rest).select(*prints.columns))
+
+
+class Prepared:
+    """Fingerprints of the passages, written once, and their runs, computed anew for those that need them."""
+
+    def __init__(self, passages: DataFrame):
+        self.texts = texts_of(passages)
+        self.prints = materialize(fingerprints(self.texts))
+        #: one row a text that has runs
+        self.classes = once(self.prints.where("size > 0").select(F.lit(False).alias("side"), "id", "size", "keys", *(f"f{i}" for i in range(PARITIES))), ["side", "id"])
+
+    def runs_of(self, ends: DataFrame) -> DataFrame:
+        """(side, id, runs) of the (side, id) wanted."""
+        ids = ends.select("id").distinct()
+        one = self.prints.select("id", "passage_id").join(ids, "id", "left_semi").groupBy("id").agg(F.min("passage_id").alias("passage_id"))
+        texts = self.texts.join(one.select("passage_id").distinct(), "passage_id", "left_semi")
+        # a passage delivered twice may have two texts; only the one that was asked for stays
+        hashed = hashed_runs(texts, RUN, ["passage_id"]).select(F.col("form").alias("id"), "runs").join(ids, "id", "left_semi")
+        return hashed.groupBy("id").agg(F.first("runs").alias("runs")).select(F.lit(False).alias("side"), "id", "runs")
+
+    def similar(self, threshold: float = THRESHOLD, **options) -> DataFrame:
+        """(a, b, jaccard), a < b: ids of different texts that reach ``threshold``."""
+        keyed = self.classes.select("side", "id", F.explode("keys").alias("key"))
+        pairs = colliding(keyed, self.classes.drop("keys"), self.runs_of, threshold, bound(threshold), cross=False, **options)
+        return verified(pairs, self.runs_of, threshold, cross=False)
+
+
+def near_duplicate_pairs(passages: DataFrame, threshold: float = THRESHOLD, expanded: int = EXPANDED, **options) -> DataFrame:
     """(passage_id_a, passage_id_b), a < b: passages alike to at least ``threshold``.
 
     Two texts with a pair of similar classes are listed, and so are two texts of
-    one class that have at least one run. Of a class with more than ``expanded``
-    exact copies, pairs go through its representative: (representative, copy),
-    and a link between classes stands between their representatives. A passage
-    delivered again under its id is no pair. Passages with a null id, or a null
-    or empty text, have no row; texts of fewer than three words resemble nothing.
+    one class (the same words, whatever their case, blanks and punctuation) that
+    have at least one run. Of a class with more than ``expanded`` members, pairs go
+    through its representative: (representative, member), and a link between
+    classes stands between their representatives. A passage delivered again under
+    its id is no pair. Passages with a null id, or a null or empty text, have no
+    row; texts of fewer than three words resemble nothing.
     """
-    classes, members = prepared(passages)
-    size = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
-    links = similar_classes(classes, threshold).select("a", "b")
-    # a class links to itself, once, if it has copies
-    own = classes.where(F.size("runs") > 0).select("rep").join(size.where("n > 1"), "rep").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    listed = members.join(size, "rep").select("rep", "id", F.col("n") > expanded)
-    listed = listed.toDF("rep", "id", "large")
-    ends = listed.where("not large or id = rep")
-    # links between classes and within small ones: over the listed members of both
-    many = links.unionByName(own).join(ends.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(ends.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").where("x <> y")
-    stars = listed.where("large and id <> rep").join(classes.where(F.size("runs") > 0).select("rep"), "rep", "left_semi").select(F.col("rep").alias("x"), F.col("id").alias("y"))
+    p = Prepared(passages)
+    members = p.prints.where("size > 0").select("id", "passage_id").distinct()
+    size = members.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("passage_id").alias("rep"))
+    links = p.similar(threshold, **options).select("a", "b")
+    several = size.where("n > 1")
+    # a class links to itself, once, if it has several members
+    links = materialize(links.unionByName(several.where(F.col("n") <= expanded).select(F.col("id").alias("a"), F.col("id").alias("b"))))
+    listed = members.join(size, "id").where((F.col("n") <= expanded) | (F.col("passage_id") == F.col("rep")))
+    many = links.join(listed.select(F.col("id").alias("a"), F.col("passage_id").alias("x")), "a").join(listed.select(F.col("id").alias("b"), F.col("passage_id").alias("y")), "b").where("x <> y")
+    stars = members.join(several.where(F.col("n") > expanded), "id").where("passage_id <> rep").select(F.col("rep").alias("x"), F.col("passage_id").alias("y"))
     both = many.select("x", "y").unionByName(stars)
     return both.select(F.least("x", "y").alias("passage_id_a"), F.greatest("x", "y").alias("passage_id_b")).distinct()
 
 
-def near_duplicate_groups(passages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicate_groups(passages: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """(passage_id, class_id, n_links): one row per passage with a text.
 
     ``class_id`` is the smallest id of the passages with the same words, and
     ``n_links`` the number of other classes alike to at least ``threshold``.
     """
-    classes, members = prepared(passages)
-    links = similar_classes(classes, threshold)
-    n = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).cast("int").alias("n_links"))
-    return members.join(n, "rep", "left").select(F.col("id").alias("passage_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    p = Prepared(passages)
+    links = p.similar(threshold, **options)
+    n = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n_links"))
+    members = p.prints.select("id", "passage_id").distinct()
+    classes = members.groupBy("id").agg(F.min("passage_id").alias("class_id")).join(n, "id", "left").select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members.join(classes, "id").select("passage_id", "class_id", "n_links")

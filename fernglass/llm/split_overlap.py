@@ -1,30 +1,32 @@
 """Problem 3: records of evaluation splits that also stand in the training split.
 
-Every text gets a similarity-hash fingerprint, a code of many bits cut into
-blocks: a value of the code is 32 bits of the least hash of the text's features
-(words, or runs of words) under one hash function, and a block is one or two such
-values. Codes are joined across the splits block by block, colliding pairs are
-kept within a Hamming radius over the whole code, and the similarity of what
-remains is verified on the features themselves.
-
-Features that very many texts share tell little apart and are left out of the
-code, but a text that holds any has a second code over all its features, so that
-many copies of one text are found, too. A hot block is refined by further values
-and never dropped.
+Every text gets a similarity-hash fingerprint over all its features (words, or runs
+of words): under each of many hash functions the least hash of its features, of
+which 8 bits go into the code. Two values are equal with the probability of the
+texts' similarity, so codes of similar texts differ in few bits. The code is cut
+into segments of a few values; segments are joined across the splits, colliding
+pairs are kept within a Hamming radius over the whole code, and the similarity of
+what remains is verified on the features themselves.
+
+How many texts hold a feature plays no part, so a text is found among any number of
+edited copies. Segments that many texts share are divided by the texts' rarest
+features, which loses nothing (:mod:`pairing`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernglass.llm.near_duplicates import BROADCAST_RUNS, may_reach, min_hashes, parities
-from fernglass.llm.shingles import hashed_runs, jaccard, mix
+from fernglass.llm.near_duplicates import once
+from fernglass.llm.pairing import Bound, colliding, verified
+from fernglass.llm.shingles import BATCH, M1, Hasher, distinct_within, hashed_runs, mix, runs, sequence_hash
 from fernglass.runtime import materialize
 
 
@@ -32,8 +34,8 @@ from fernglass.runtime import materialize
 class Scheme:
     """How texts are compared: features of ``run`` words, similar from ``threshold`` on.
 
-    ``blocks`` blocks of ``per_block`` values (1 or 2, an even number in all) find candidates; they must lie
-    within ``radius`` of the bits of the code (unrelated codes differ in half).
+    ``blocks`` segments of ``per_block`` values find candidates, which must lie
+    within ``radius`` of the code's bits (unrelated codes differ in half of them).
     """
 
     run: int
@@ -41,164 +43,100 @@ class Scheme:
     blocks: int
     per_block: int
     radius: float
-    common: int = 100
-    bucket: int = 20_000
-    refine: int = 8
-    levels: int = 3
 
+    @property
+    def values(self) -> int:
+        return self.blocks * self.per_block
 
-#: At 0.5 a block of two values is met with 0.25, one of 20 with 0.997.
-PASSAGES = Scheme(run=3, threshold=0.5, blocks=20, per_block=2, radius=0.44)
-#: At 0.7 a block of one value is met with 0.7; where edits fall on rare words only, 20 blocks still find 0.9997 at 0.33.
-QUERIES = Scheme(run=1, threshold=0.7, blocks=20, per_block=1, radius=0.46)
+    @property
+    def longs(self) -> int:
+        return ceil(self.values / 8)
 
+    @property
+    def bound(self) -> Bound:
+        return Bound(self.longs, self.threshold, float(int(self.radius * 8 * self.values)))
 
-def codes(classes: DataFrame, common: DataFrame, scheme: Scheme) -> DataFrame:
-    """(side, rep, code, whole): the code as longs of two values.
 
-    A text with common features has a second code over all its features,
-    ``whole``. It is null for other texts, whose code is over all of them.
+#: At 0.5 a segment of two values is met with 0.25, one of 24 with 0.999; the codes differ in 0.25 +- 0.04 of their bits.
+PASSAGES = Scheme(run=3, threshold=0.5, blocks=24, per_block=2, radius=0.39)
+#: At 0.7 a segment of three values is met with 0.34, one of 24 with 0.99996; the codes differ in 0.15 +- 0.03 of their bits.
+QUERIES = Scheme(run=1, threshold=0.7, blocks=24, per_block=3, radius=0.255)
+
+
+def least_hashes(v: np.ndarray, offsets: np.ndarray, functions: int) -> np.ndarray:
+    """(functions, texts): 32 bits of the least hash of each text's features under each function; 0 for a text without features."""
+    odd = np.random.default_rng(20260923).integers(1, 1 << 63, functions, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    n = np.diff(offsets)
+    some = np.nonzero(n)[0]
+    out = np.zeros((functions, len(n)), np.uint64)
+    if len(some):
+        starts = offsets[:-1][some]
+        for k in range(functions):
+            out[k, some] = mix(np.minimum.reduceat(v * odd[k], starts)) >> np.uint64(32)
+    return out
+
+
+def fingerprints(texts: DataFrame, scheme: Scheme) -> DataFrame:
+    """(side, rid, id, size, keys, f0, f1, ...) of (side, rid, text): a hash of the sequence of words, the number of features, the segments, and the code.
+
+    Texts of the same words have the same ``id``; texts without features are left out.
     """
-    spark = classes.sparkSession
-    if common.count() > BROADCAST_RUNS:
-        # too many for a broadcast: common features are marked by a join instead
-        per = classes.select("side", "rep", F.explode("runs").alias("run")).join(common, "run", "left_semi").groupBy("side", "rep").agg(F.collect_list("run").alias("c"))
-        classes = classes.join(per, ["side", "rep"], "left").withColumn("rare", F.array_except("runs", F.coalesce("c", F.array().cast("array<long>")))).drop("c")
-        held = None
-    else:
-        classes = classes.withColumn("rare", F.lit(None).cast("array<long>"))
-        held = spark.sparkContext.broadcast(np.sort(common.toArrow().column("run").to_numpy()))
-    n_values = scheme.blocks * scheme.per_block
-    rng = np.random.default_rng(20260923)
-    odd = rng.integers(1, 1 << 63, n_values, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def least(v: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """(texts, values): 32 bits of the least hash under each function; 0 for texts without features."""
-        out = np.zeros((len(n), n_values), np.uint64)
-        some = np.nonzero(n)[0]
-        if len(some):
-            starts = (np.cumsum(n) - n)[some]
-            for k in range(n_values):
-                out[some, k] = mix(np.minimum.reduceat(v * odd[k], starts)) >> np.uint64(32)
-        return out
-
-    def as_longs(code: np.ndarray) -> np.ndarray:
-        return (code[:, 0::2] << np.uint64(32) | code[:, 1::2]).view(np.int64)
-
-    kind = classes.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(2)
-            n = np.diff(np.asarray(lists.offsets, np.int64))
-            v = np.asarray(lists.flatten())
-            owner = np.repeat(np.arange(len(n)), n)
-            if held is not None:
-                c = held.value
-                rare = c[np.minimum(np.searchsorted(c, v), len(c) - 1)] != v if len(c) else np.ones(len(v), bool)
-                rv, ro = v[rare], owner[rare]
-            else:
-                marks = b.column(3)
-                rv, ro = np.asarray(marks.flatten()), np.repeat(np.arange(len(n)), np.diff(np.asarray(marks.offsets, np.int64)))
-            rn = np.bincount(ro, minlength=len(n))
-            code = least(rv.view(np.uint64), rn)
-            poor = np.nonzero(rn < n)[0]
-            whole: list[np.ndarray | None] = [None] * len(n)
-            if len(poor):
-                of = np.full(len(n), -1)
-                of[poor] = np.arange(len(poor))
-                inside = of[owner] >= 0
-                second = least(v[inside].view(np.uint64), np.bincount(of[owner[inside]], minlength=len(poor)))
-                bare = rn[poor] == 0
-                code[poor[bare]] = second[bare]
-                for i, c in zip(poor, as_longs(second), strict=True):
-                    whole[i] = c
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(as_longs(code)), longs), pa.array(whole, longs)], names=["side", "rep", "code", "whole"])
-
-    return classes.select("side", "rep", "runs", "rare").mapInArrow(run, f"side boolean, rep {kind}, code array<long>, whole array<long>")
-
-
-def block_keys(coded: DataFrame, scheme: Scheme) -> DataFrame:
-    """(side, rep, key): a hash of every block of every code with its place."""
-    if scheme.per_block == 2:
-        x = coded.select("side", "rep", F.explode(F.array("code", "whole")).alias("c")).select("side", "rep", F.posexplode("c").alias("i", "v"))
-        return x.select("side", "rep", F.xxhash64("i", "v").alias("key")).distinct()
-    x = coded.select("side", "rep", F.posexplode("code").alias("i", "v"))
-    halves = x.select("side", "rep", F.explode(F.array(F.xxhash64("i", F.lit(0), F.shiftrightunsigned("v", 32)), F.xxhash64("i", F.lit(1), F.shiftleft("v", 32)))).alias("key"))
-    # a single value over all features is too often that of a common word: every two neighbours, the last and the first among them
-    x = coded.select("side", "rep", F.coalesce("whole", "code").alias("c")).select("side", "rep", "c", F.posexplode("c").alias("i", "v"))
-    after = F.shiftrightunsigned(F.element_at("c", (F.col("i") + 1) % F.size("c") + 1), 32)
-    pairs = x.select("side", "rep", F.explode(F.array(F.xxhash64("i", F.lit(2), "v"), F.xxhash64("i", F.lit(3), F.shiftleft("v", 32), after))).alias("key"))
-    return halves.unionByName(pairs).distinct()
-
-
-def hamming(a, b):
-    """Bits in which two codes differ."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-
-def colliding(keyed: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame:
-    """(a, b) without repeats: evaluation and training texts that share a block, but for pairs whose parities rule out the threshold.
-
-    Hot blocks are refined; where the parts would hold as many pairs as the block
-    itself (copies of one text), it is joined whole.
-    """
-    sides = materialize(parities(classes, ["side", "rep"]))
-
-    def paired(rows: DataFrame) -> DataFrame:
-        both = rows.select("side", "rep", "key").join(sides, ["side", "rep"])
-        x, y = (both.where(F.col("side") == s).select("key", *(F.col(c).alias(n + c) for c in sides.columns)) for s, n in ((True, "x"), (False, "y")))
-        return x.join(y, "key").where(may_reach(scheme.threshold)).select(F.col("xrep").alias("a"), F.col("yrep").alias("b"))
-
-    def crossing(rows: DataFrame) -> DataFrame:
-        w = Window.partitionBy("key")
-        x = rows.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("na", F.count_if("side").over(w))
-        return materialize(x.where("na > 0 and na < n").withColumn("pairs", F.col("na") * (F.col("n") - F.col("na"))).withColumn("others", F.when(F.col("side"), F.col("n") - F.col("na")).otherwise(F.lit(0))).drop("n", "na"))
-
-    s = crossing(keyed)
-    found = None
-    for level in range(scheme.levels + 1):
-        p = paired(s if level == scheme.levels else s.where(F.col("pairs") <= scheme.bucket))
-        found = p if found is None else found.unionByName(p)
-        hot = s.where(F.col("pairs") > scheme.bucket).select("side", "rep", "key", "pairs")
-        if level == scheme.levels or not hot.take(1):
-            break
-        hashes = classes.join(hot.select("side", "rep").distinct(), ["side", "rep"], "left_semi").select("side", "rep", F.slice(min_hashes(F.col("runs"), scheme.refine * (level + 1)), scheme.refine * level + 1, scheme.refine).alias("m"))
-        parts = hot.select("side", "rep", F.col("key").alias("block"), F.col("pairs").alias("held")).join(hashes, ["side", "rep"]).select("side", "rep", "block", "held", F.posexplode("m").alias("j", "h"))
-        parts = crossing(parts.select("side", "rep", "block", "held", F.xxhash64("block", "j", "h").alias("key")))
-        vain = materialize(parts.groupBy("block").agg(F.sum("others").alias("n"), F.first("held").alias("held")).where("n >= held").select("block"))
-        found = found.unionByName(paired(hot.join(vain.withColumnRenamed("block", "key"), "key", "left_semi")))
-        s = parts.join(vain, "block", "left_anti").select("side", "rep", "key", "pairs", "others")
-    return found.distinct()
-
-
-def similar_across(evaluation: DataFrame, training: DataFrame, scheme: Scheme) -> DataFrame:
+        hasher = Hasher()
+        places = np.arange(1, scheme.blocks + 1, dtype=np.uint64)[:, None]
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                b = whole.slice(at, BATCH)
+                ids, n = hasher.ids(b.column(2).to_pylist())
+                v, offsets = distinct_within(*runs(ids, n, scheme.run), b.num_rows)
+                least = least_hashes(v, offsets, scheme.values)
+                keys = mix(places * M1)
+                for k in range(scheme.per_block):
+                    keys = mix(keys + least[k :: scheme.per_block])
+                code = np.zeros((8 * scheme.longs, b.num_rows), np.uint8)
+                code[: scheme.values] = least & np.uint64(0xFF)
+                code = np.ascontiguousarray(code.T).view(np.int64)
+                size = np.diff(offsets).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, scheme.blocks, dtype=np.int32)), pa.array(np.ascontiguousarray(keys.T).ravel().view(np.int64)))
+                columns = [b.column(0), b.column(1), pa.array(sequence_hash(ids, n).view(np.int64)), pa.array(size), listed, *(pa.array(np.ascontiguousarray(c)) for c in code.T)]
+                made = pa.RecordBatch.from_arrays(columns, names=["side", "rid", "id", "size", "keys", *(f"f{i}" for i in range(scheme.longs))])
+                yield made.filter(pa.array(size > 0))
+
+    kind = texts.schema["rid"].dataType.simpleString()
+    return texts.select("side", "rid", "text").mapInArrow(run, f"side boolean, rid {kind}, id long, size int, keys array<long>, " + ", ".join(f"f{i} long" for i in range(scheme.longs)))
+
+
+def similar_across(evaluation: DataFrame, training: DataFrame, scheme: Scheme, **options) -> DataFrame:
     """(a, b, jaccard): ids of (id, text) rows of the two sides whose texts reach the scheme's threshold.
 
-    Texts without features (null, empty, or shorter than a run) resemble none.
-    Each side should hold a text once; repeats are found all the same.
+    Texts without features (null, empty, or shorter than a run) resemble none. A
+    text may stand in many rows; only its rows are then many.
     """
-    both = evaluation.select(F.lit(True).alias("side"), F.col("id").alias("rep"), "text").unionByName(training.select(F.lit(False).alias("side"), F.col("id").alias("rep"), "text"))
-    classes = materialize(hashed_runs(both, scheme.run, ["side", "rep"]).where(F.size("runs") > 0).select("side", "rep", "runs"))
-    common = classes.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= scheme.common).select("run")
-    coded = materialize(codes(classes, materialize(common), scheme))
-    c = materialize(colliding(block_keys(coded, scheme), classes, scheme))
-    most = int(scheme.radius * 32 * scheme.blocks * scheme.per_block)
-    a = coded.where("side").select(F.col("rep").alias("a"), F.col("code").alias("ca"), F.coalesce("whole", "code").alias("wa"))
-    b = coded.where("not side").select(F.col("rep").alias("b"), F.col("code").alias("cb"), F.coalesce("whole", "code").alias("wb"))
-    # where the edits are most of the rare features, only the codes over all features are alike
-    within = (hamming(F.col("ca"), F.col("cb")) <= most) | (hamming(F.col("wa"), F.col("wb")) <= most)
-    near = materialize(c.join(a, "a").join(b, "b").where(within).select("a", "b"))
-    ra = classes.where("side").join(near.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("a"), F.col("runs").alias("ra"))
-    rb = classes.where("not side").join(near.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("b"), F.col("runs").alias("rb"))
-    return near.join(ra, "a").join(rb, "b").select("a", "b", jaccard(F.col("ra"), F.col("rb")).alias("jaccard")).where(F.col("jaccard") >= scheme.threshold)
+    texts = evaluation.select(F.lit(True).alias("side"), F.col("id").alias("rid"), "text").unionByName(training.select(F.lit(False).alias("side"), F.col("id").alias("rid"), "text"))
+    prints = materialize(fingerprints(texts, scheme))
+    classes = once(prints.drop("rid"), ["side", "id"])
+
+    def runs_of(ends: DataFrame) -> DataFrame:
+        one = prints.select("side", "id", "rid").join(ends, ["side", "id"], "left_semi").groupBy("side", "id").agg(F.min("rid").alias("rid"))
+        some = texts.join(one.select("side", "rid").distinct(), ["side", "rid"], "left_semi")
+        hashed = hashed_runs(some, scheme.run, ["side", "rid"]).select("side", F.col("form").alias("id"), "runs").join(ends, ["side", "id"], "left_semi")
+        return hashed.groupBy("side", "id").agg(F.first("runs").alias("runs"))
+
+    keyed = classes.select("side", "id", F.explode("keys").alias("key"))
+    near = colliding(keyed, classes.drop("keys"), runs_of, scheme.threshold, scheme.bound, cross=True, **options)
+    found = materialize(verified(near, runs_of, scheme.threshold, cross=True))
+    rows = prints.select("side", "id", "rid").distinct()
+    a = rows.where("side").select(F.col("id").alias("a"), F.col("rid").alias("ra"))
+    b = rows.where("not side").select(F.col("id").alias("b"), F.col("rid").alias("rb"))
+    return found.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "jaccard")
 
 
 def _by_text(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """((id, text) once a text, (key, id) of every row): ids are digests of the text."""
-    x = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.unhex(F.md5(text)).alias("id"))
-    return x.select("id", "text").dropDuplicates(["id"]), x.select("key", "id").distinct()
+    """((id, text) once a text, (key, id) of every row): ids are hashes of the text."""
+    x = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    h = F.xxhash64("text")
+    return x.select("text").distinct().select(h.alias("id"), "text"), x.select("key", h.alias("id")).distinct()
 
 
 def overlaps(labeled_queries: DataFrame, pairs: DataFrame, passages: DataFrame, by_query: Scheme = QUERIES, by_passage: Scheme = PASSAGES) -> DataFrame:

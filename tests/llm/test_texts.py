@@ -55,8 +55,8 @@ def test_runs_stay_within_texts(spark):
     assert got["e"][2] < got["a"][2]
 
 
-@pytest.mark.parametrize("common", [3, 100])
-def test_near_duplicates_against_all_pairs(spark, rows, monkeypatch, common):
+@pytest.mark.parametrize("options", [{}, {"pairs": 3}, {"pairs": 3, "block": 2}])
+def test_near_duplicates_against_all_pairs(spark, rows, options):
     rng = random.Random(11)
     texts = family(rng, 30, 60)
     data = [(f"p{i:03d}", None if i % 5 else "Title here", t) for i, t in enumerate(texts)]
@@ -70,8 +70,7 @@ def test_near_duplicates_against_all_pairs(spark, rows, monkeypatch, common):
         for b in own:
             if a < b and alike(own[a], own[b]):
                 want.add((a, b))
-    monkeypatch.setattr(N, "COMMON", common)
-    got = set(rows(N.near_duplicate_pairs(passages(spark, data))))
+    got = set(rows(N.near_duplicate_pairs(passages(spark, data), **options)))
     assert got <= want and len(got) >= 0.99 * len(want) > 50
 
 
@@ -84,41 +83,43 @@ def test_copies_beyond_the_limit_are_a_star(spark, rows):
     assert groups["p3"] == ("p0", 1) and groups["q"] == ("q", 1)
 
 
-def test_hot_buckets_are_refined(spark, rows):
-    rng = random.Random(4)
-    # all share a beginning, so that some buckets hold all of them
-    data = [(f"p{i:02d}", None, "the same beginning of all these texts " + " ".join(f"u{i // 2}x{k}" for k in range(30)) + f" end{i}") for i in range(40)]
-    p = passages(spark, data)
-    classes, _ = N.prepared(p)
-    flagged, boiler = N.flag_common(classes, N.common_runs(classes, 1000))
-    keyed = N.variants(flagged, boiler)
-    got = {tuple(r) for r in N.candidates(keyed, classes, bucket=5).collect()}
-    assert {(f"p{2 * i:02d}", f"p{2 * i + 1:02d}") for i in range(20)} <= got
-    rng.random()
+def all_pairs(own, threshold=0.5):
+    return {(f"p{i:04d}", f"p{j:04d}") for j in range(len(own)) for i in range(j) if alike(own[i], own[j], threshold)}
 
 
-def test_common_runs_by_join(spark, rows):
-    data = [(f"p{i}", None, "a b c d e f " + f"g{i} h{i} i{i} j{i} k{i}") for i in range(5)] + [("q", None, "a b c d e f g0 h0 i0 j0 k0 l0")]
-    classes, _ = N.prepared(passages(spark, data))
-    common = N.common_runs(classes, 4)
-    for limit in (0, 10**6):
-        flagged, boiler = N.flag_common(classes, common, limit)
-        assert (boiler is None) == (limit == 0)
-        got = {tuple(r) for r in N.candidates(N.variants(flagged, boiler), classes).collect()}
-        assert ("p0", "q") in got
+@pytest.mark.parametrize("options", [{}, {"pairs": 50}, {"pairs": 50, "block": 7}])
+def test_boilerplate(spark, rows, options):
+    # all share a beginning, so that some keys are everybody's; two and two are alike
+    texts = ["the same beginning of all these texts " + " ".join(f"u{i // 2}x{k}" for k in range(30)) + f" end{i}" for i in range(60)]
+    want = all_pairs([runs(t) for t in texts])
+    assert len(want) == 30
+    assert set(rows(N.near_duplicate_pairs(passages(spark, [(f"p{i:04d}", None, t) for i, t in enumerate(texts)]), **options))) == want
 
 
-def test_many_copies_of_one_passage(spark, rows):
+@pytest.mark.parametrize("n", [50, 99, 100, 101, 500])
+def test_families_of_edited_copies(spark, rows, n):
+    rng = random.Random(n)
     base = [f"w{k}" for k in range(100)]
-    texts = [base[: 1 + i % 97] + [f"own{i}"] + base[2 + i % 97 :] for i in range(150)]
-    own = [runs(" ".join(t)) for t in texts]
-    want = {(f"p{i:03d}", f"p{j:03d}") for j in range(150) for i in range(j) if alike(own[i], own[j])}
-    data = [(f"p{i:03d}", None, " ".join(t)) for i, t in enumerate(texts)]
-    assert len(want) == 11175 and set(rows(N.near_duplicate_pairs(passages(spark, data)))) == want
-    classes, _ = N.prepared(passages(spark, data))
-    flagged, boiler = N.flag_common(classes, N.common_runs(classes, 100))
-    # hot buckets that refining doesn't divide
-    assert len(N.candidates(N.variants(flagged, boiler), classes, bucket=20).collect()) == 11175
+    texts = [edited(rng, base, rng.randrange(1, 7)) + f" own{i}" for i in range(n)]
+    want = all_pairs([runs(t) for t in texts])
+    got = set(rows(N.near_duplicate_pairs(passages(spark, [(f"p{i:04d}", None, t) for i, t in enumerate(texts)]))))
+    assert got <= want and len(got) >= 0.99 * len(want) > n
+
+
+@pytest.mark.parametrize("edits", [1, 3])
+def test_hot_families_by_blocks(spark, rows, edits):
+    rng = random.Random(edits)
+    texts = []
+    for f in range(2):
+        base = [f"w{f}x{k}" for k in range(60)]
+        texts += [edited(rng, base, edits) + f" own{f}x{i}" for i in range(75)]
+    want = all_pairs([runs(t) for t in texts])
+    p = passages(spark, [(f"p{i:04d}", None, t) for i, t in enumerate(texts)])
+    for block in (20, 1000):
+        got = rows(N.near_duplicate_pairs(p, pairs=100, block=block))
+        assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.99 * len(want)
+    groups = {r.passage_id: r.n_links for r in N.near_duplicate_groups(p).collect()}
+    assert groups["p0000"] == sum("p0000" in x for x in want)
 
 
 def test_nothing(spark):
@@ -174,25 +175,36 @@ def copies(n, edits):
     return " ".join(base), out
 
 
-def across(spark, held, texts, scheme):
+def across(spark, held, texts, scheme, **options):
     a = spark.createDataFrame([("q", held)], "id string, text string")
     b = spark.createDataFrame([(f"t{i}", x) for i, x in enumerate(texts)], "id string, text string")
-    return O.similar_across(a, b, scheme).count()
+    return O.similar_across(a, b, scheme, **options).count()
 
 
-def test_copies_whose_few_rare_features_are_edits(spark):
-    held, texts = copies(150, 1)
-    assert across(spark, held, texts, O.PASSAGES) == 150
+@pytest.mark.parametrize("edits", [1, 2])
+@pytest.mark.parametrize("options", [{}, {"pairs": 20}, {"pairs": 20, "block": 40}])
+def test_copies_with_edits_across_splits(spark, edits, options):
+    held, texts = copies(150, edits)
+    assert across(spark, held, texts, O.PASSAGES, **options) == 150
 
 
-def test_copies_whose_rare_features_are_edits(spark):
-    held, texts = copies(150, 2)
-    assert across(spark, held, texts, O.PASSAGES) == 150
-    # questions: 24 words that all texts share, 4 of each alone
+def test_questions_of_shared_words(spark):
+    # 24 words that all texts share, 4 of each alone
     shared = " ".join(f"w{k}" for k in range(24))
-    asked = [shared + " " + " ".join(f"o{i}x{k}" for k in range(4)) for i in range(150)]
+    asked = [shared + " " + " ".join(f"o{i}x{k}" for k in range(4)) for i in range(500)]
     assert across(spark, shared + " a b c", asked[:1], O.QUERIES) == 1
-    assert across(spark, shared + " a b c", asked, O.QUERIES) == 150
+    assert across(spark, shared + " a b c", asked, O.QUERIES) == 500
+    assert across(spark, shared + " a b c", asked, O.QUERIES, pairs=10) == 500
+
+
+@pytest.mark.parametrize("options", [{}, {"pairs": 5}, {"pairs": 5, "block": 6}])
+def test_question_templates(spark, options):
+    # half of the words are the template's; copies differ in one word
+    names = [" ".join(f"n{i}x{k}" for k in range(7)) for i in range(60)]
+    asked = spark.createDataFrame([(f"a{i}", f"in which year was the place of {n} built") for i, n in enumerate(names)], "id string, text string")
+    train = spark.createDataFrame([(f"b{i}", f"in which year was the place of {n} founded") for i, n in enumerate(names)], "id string, text string")
+    got = {(r.a, r.b) for r in O.similar_across(asked, train, O.QUERIES, **options).collect()}
+    assert got == {(f"a{i}", f"b{i}") for i in range(60)}
 
 
 def test_trie():
