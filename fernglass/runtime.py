@@ -18,6 +18,9 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 500_000  # rows of a few columns each that may be broadcast
 
 _LOCAL_ROOT: str | None = None
 _SHIPPED: set[str] = set()
@@ -91,6 +94,15 @@ def release(*frames: DataFrame | None) -> None:
             df._fernglass_path = None
 
 
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, to be broadcast if it holds at most ``rows`` rows; beyond that, the optimizer joins it as it likes.
+
+    For narrow tables (a few ids or numbers a row) that are cheap to count, such as
+    those of :func:`materialize`.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
