@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernglass.llm.pairing import Bound, colliding, verified
+from fernglass.llm.pairing import Bound, colliding, once, parities, verified
 from fernglass.llm.shingles import BATCH, M1, M2, Hasher, distinct_within, hashed_runs, mix, runs, sequence_hash
-from fernglass.runtime import materialize
+from fernglass.runtime import if_small, materialize
 
 RUN = 3  # words
 THRESHOLD = 0.5
@@ -80,22 +80,12 @@ def variants(v: np.ndarray, offsets: np.ndarray, sketches: int = SKETCHES, bits:
     return distinct_within(np.concatenate(keys), np.concatenate(owners), len(n))
 
 
-def parities(v: np.ndarray, offsets: np.ndarray, longs: int = PARITIES) -> np.ndarray:
-    """(longs, texts): for each of ``64 * longs`` bits whether an odd number of the text's runs falls on it."""
-    n = np.diff(offsets)
-    at = np.repeat(np.arange(len(n)), n) * longs + ((v >> np.uint64(6)) % np.uint64(longs)).astype(np.int64)
-    bits = np.zeros(len(n) * longs, np.uint64)
-    np.bitwise_xor.at(bits, at, np.uint64(1) << (v & np.uint64(63)))
-    return np.ascontiguousarray(bits.view(np.int64).reshape(len(n), longs).T)
-
-
 def bound(threshold: float) -> Bound:
-    """Parities differ in no more bits than there are runs that only one of two texts has, so this loses no pair."""
-    return Bound(PARITIES, threshold, 1e-6, (1 - threshold) / (1 + threshold))
+    return Bound(threshold, PARITIES)
 
 
 def fingerprints(texts: DataFrame) -> DataFrame:
-    """(passage_id, id, size, keys, f0, f1, ...) of (passage_id, text): a hash of the sequence of words, the number of runs, the variants, and the parities.
+    """(passage_id, id, size, keys, p0, p1, ...) of (passage_id, text): a hash of the sequence of words, the number of runs, the variants, and the parities.
 
     Texts of the same words have the same ``id``, whatever separates them.
     """
@@ -109,19 +99,11 @@ def fingerprints(texts: DataFrame) -> DataFrame:
                 v, offsets = distinct_within(*runs(ids, n, RUN), b.num_rows)
                 keys, ends = variants(v, offsets)
                 listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.view(np.int64)))
-                columns = [b.column(0), pa.array(sequence_hash(ids, n).view(np.int64)), pa.array(np.diff(offsets).astype(np.int32)), listed, *map(pa.array, parities(v, offsets))]
-                yield pa.RecordBatch.from_arrays(columns, names=["passage_id", "id", "size", "keys", *(f"f{i}" for i in range(PARITIES))])
+                columns = [b.column(0), pa.array(sequence_hash(ids, n).view(np.int64)), pa.array(np.diff(offsets).astype(np.int32)), listed, *map(pa.array, parities(v, offsets, PARITIES))]
+                yield pa.RecordBatch.from_arrays(columns, names=["passage_id", "id", "size", "keys", *(f"p{i}" for i in range(PARITIES))])
 
     kind = texts.schema["passage_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"passage_id {kind}, id long, size int, keys array<long>, " + ", ".join(f"f{i} long" for i in range(PARITIES)))
-
-
-def once(prints: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each value of ``keys``; only rows whose keys repeat are shuffled whole."""
-    n = prints.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    several = prints.join(n, keys, "left_semi")
-    rest = [F.first(c).alias(c) for c in prints.columns if c not in keys]
-    return prints.join(n, keys, "left_anti").unionByName(several.groupBy(*keys).agg(*rest).select(*prints.columns))
+    return texts.mapInArrow(run, f"passage_id {kind}, id long, size int, keys array<long>, " + ", ".join(f"p{i} long" for i in range(PARITIES)))
 
 
 class Prepared:
@@ -131,13 +113,13 @@ class Prepared:
         self.texts = texts_of(passages)
         self.prints = materialize(fingerprints(self.texts))
         #: one row a text that has runs
-        self.classes = once(self.prints.where("size > 0").select(F.lit(False).alias("side"), "id", "size", "keys", *(f"f{i}" for i in range(PARITIES))), ["side", "id"])
+        self.classes = once(self.prints.where("size > 0").select(F.lit(False).alias("side"), "id", "size", "keys", *(f"p{i}" for i in range(PARITIES))), ["side", "id"])
 
     def runs_of(self, ends: DataFrame) -> DataFrame:
         """(side, id, runs) of the (side, id) wanted."""
-        ids = ends.select("id").distinct()
-        one = self.prints.select("id", "passage_id").join(ids, "id", "left_semi").groupBy("id").agg(F.min("passage_id").alias("passage_id"))
-        texts = self.texts.join(one.select("passage_id").distinct(), "passage_id", "left_semi")
+        ids = if_small(ends.select("id"))
+        one = materialize(self.prints.select("id", "passage_id").join(ids, "id", "left_semi").groupBy("id").agg(F.min("passage_id").alias("passage_id")))
+        texts = self.texts.join(if_small(one.select("passage_id")), "passage_id", "left_semi")
         # a passage delivered twice may have two texts; only the one that was asked for stays
         hashed = hashed_runs(texts, RUN, ["passage_id"]).select(F.col("form").alias("id"), "runs").join(ids, "id", "left_semi")
         return hashed.groupBy("id").agg(F.first("runs").alias("runs")).select(F.lit(False).alias("side"), "id", "runs")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernglass.llm.shingles import jaccard
-from fernglass.runtime import materialize, release
+from fernglass.runtime import if_small, is_empty, materialize, release
 
 PAIRS = 2_000_000  # pairs a key may make before it is divided; up to there comparing codes costs less than ordering runs
 BLOCK = 1_000  # texts of one key that a task compares with as many others
@@ -34,48 +34,83 @@ RunsOf = Callable[[DataFrame], DataFrame]  # (side, id) to (side, id, runs)
 
 @dataclass(frozen=True)
 class Bound:
-    """Which pairs may be alike: those whose sizes are within ``ratio`` of each other, and whose codes (``longs`` columns f0, f1, ...) differ in at most ``constant + per_size * (both sizes)`` bits.
+    """Which pairs may reach ``threshold``, by what every text carries: its size and a bit code of ``longs`` columns p0, p1, ...
 
-    Sets of similarity t have sizes within t of each other, so ``ratio`` loses none
-    if it isn't above the threshold.
+    Sizes must be within the threshold of each other. The code's bits are parities
+    (see :func:`parities`): two codes differ in no more bits than there are runs that
+    only one of two texts has, so the Hamming radius never rules out a pair that
+    reaches the threshold.
     """
 
+    threshold: float
     longs: int
-    ratio: float
-    constant: float
-    per_size: float = 0.0
+
+    @property
+    def codes(self) -> list[str]:
+        return [f"p{i}" for i in range(self.longs)]
 
     @property
     def columns(self) -> list[str]:
-        return ["size", *(f"f{i}" for i in range(self.longs))]
+        return ["size", *self.codes]
+
+    def _near(self, m, n, apart):
+        radius = (m + n) * ((1 - self.threshold) / (1 + self.threshold)) + 1e-6
+        return (m >= self.threshold * n - 1e-9) & (n >= self.threshold * m - 1e-9) & (apart <= radius)
 
     def holds(self) -> Column:
         """For columns prefixed x and y."""
-        apart = sum((F.bit_count(F.col(f"xf{i}").bitwiseXOR(F.col(f"yf{i}"))) for i in range(self.longs)), F.lit(0))
-        near = (F.col("xsize") >= self.ratio * F.col("ysize") - 1e-9) & (F.col("ysize") >= self.ratio * F.col("xsize") - 1e-9)
-        return near & (apart <= self.constant + self.per_size * (F.col("xsize") + F.col("ysize")))
+        apart = sum((F.bit_count(F.col(f"x{c}").bitwiseXOR(F.col(f"y{c}"))) for c in self.codes), F.lit(0))
+        return self._near(F.col("xsize"), F.col("ysize"), apart)
 
     def table(self, left: pa.Table, right: pa.Table) -> np.ndarray:
         """The same for every row of ``left`` against every row of ``right``."""
         apart = np.zeros((left.num_rows, right.num_rows), np.int16)
-        for i in range(self.longs):
-            x, y = (t.column(f"f{i}").to_numpy().view(np.uint64) for t in (left, right))
+        for c in self.codes:
+            x, y = (t.column(c).to_numpy().view(np.uint64) for t in (left, right))
             apart += np.bitwise_count(x[:, None] ^ y[None, :])
-        m, n = left.column("size").to_numpy()[:, None], right.column("size").to_numpy()[None, :]
-        return (m >= self.ratio * n - 1e-9) & (n >= self.ratio * m - 1e-9) & (apart <= self.constant + self.per_size * (m + n))
+        return self._near(left.column("size").to_numpy()[:, None], right.column("size").to_numpy()[None, :], apart)
+
+
+def parities(v: np.ndarray, offsets: np.ndarray, longs: int) -> list[np.ndarray]:
+    """``longs`` columns: for each of ``64 * longs`` bits whether an odd number of a text's runs falls on it."""
+    n = np.diff(offsets)
+    at = np.repeat(np.arange(len(n)), n) * longs + ((v >> np.uint64(6)) % np.uint64(longs)).astype(np.int64)
+    bits = np.zeros(len(n) * longs, np.uint64)
+    np.bitwise_xor.at(bits, at, np.uint64(1) << (v & np.uint64(63)))
+    return [np.ascontiguousarray(c) for c in bits.view(np.int64).reshape(len(n), longs).T]
+
+
+def once(prints: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each value of ``keys``; only rows whose keys repeat are shuffled whole."""
+    n = materialize(prints.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    if is_empty(n):
+        return prints
+    rest = [F.first(c).alias(c) for c in prints.columns if c not in keys]
+    n = if_small(n)
+    several = materialize(prints.join(n, keys, "left_semi").groupBy(*keys).agg(*rest).select(*prints.columns))
+    return prints.join(n, keys, "left_anti").unionByName(several)
 
 
 def _with_partners(rows: DataFrame, cross: bool) -> DataFrame:
     """(side, id, key, na, nb, pairs): the rows of keys that make a pair, with the key's texts on either side.
 
     Keys are counted by an aggregation, which combines before it shuffles, and the
-    counts are joined back; a hot key is then the uneven side of a join.
+    counts are joined back; a hot key is then the uneven side of a join. Across
+    sides, only the keys that both have are counted.
     """
-    na = F.count_if("side") if cross else F.lit(0).cast("long")
-    n = rows.groupBy("key").agg(na.alias("na"), F.count(F.lit(1)).alias("n"))
-    n = n.select("key", "na", (F.col("n") - F.col("na")).alias("nb"))
-    pairs = F.col("na") * F.col("nb") if cross else F.expr("nb * (nb - 1) div 2")
-    return materialize(rows.join(n.withColumn("pairs", pairs).where("pairs > 0"), "key").select("side", "id", "key", "na", "nb", "pairs"))
+    if not cross:
+        n = rows.groupBy("key").agg(F.count(F.lit(1)).alias("nb")).where("nb > 1")
+        out = rows.select("id", "key").join(n, "key").select(F.lit(False).alias("side"), "id", "key", F.lit(0).cast("long").alias("na"), "nb", F.expr("nb * (nb - 1) div 2").alias("pairs"))
+        return materialize(out)
+    a, b = rows.where("side").select("key", "id"), rows.where("not side").select("key", "id")
+    b = materialize(b.join(a.select("key").distinct(), "key", "left_semi"))
+    nb = b.groupBy("key").agg(F.count(F.lit(1)).alias("nb"))
+    a = materialize(a.join(nb, "key"))
+    na = a.groupBy("key").agg(F.count(F.lit(1)).alias("na"), F.first("nb").alias("nb"))
+    both = a.select(F.lit(True).alias("side"), "id", "key").unionByName(b.select(F.lit(False).alias("side"), "id", "key"))
+    out = materialize(both.join(na, "key").select("side", "id", "key", "na", "nb", (F.col("na") * F.col("nb")).alias("pairs")))
+    release(a, b)
+    return out
 
 
 def _paired(rows: DataFrame, sides: DataFrame, bound: Bound, cross: bool) -> DataFrame:
@@ -150,8 +185,8 @@ def _by_blocks(rows: DataFrame, sides: DataFrame, bound: Bound, cross: bool, blo
 def colliding(keyed: DataFrame, sides: DataFrame, runs_of: RunsOf, threshold: float, bound: Bound, cross: bool, pairs: int = PAIRS, block: int = BLOCK) -> DataFrame:
     """(a, b) without repeats: texts that share a key and whose codes are within ``bound``.
 
-    ``keyed`` is (side, id, key), ``sides`` (side, id, size, f0, f1, ...) with one
-    row a text. For ``cross``, a is on side true and b on side false; else there is
+    ``keyed`` is (side, id, key), ``sides`` (side, id) with the bound's columns,
+    one row a text. For ``cross``, a is on side true and b on side false; else there is
     one side, false, and a < b. Of texts that meet in hot keys only, pairs that
     certainly stay below ``threshold`` may be left out.
     """
@@ -159,7 +194,11 @@ def colliding(keyed: DataFrame, sides: DataFrame, runs_of: RunsOf, threshold: fl
     found = _paired(rows.where(F.col("pairs") <= pairs), sides, bound, cross)
     hot = rows.where(F.col("pairs") > pairs)
     if hot.take(1):
-        divided = _with_partners(rarest_runs(runs_of(hot.select("side", "id").distinct()), threshold, cross), cross)
+        runs = materialize(runs_of(materialize(hot.select("side", "id").distinct())))
+        rare = materialize(rarest_runs(runs, threshold, cross))
+        release(runs)
+        divided = _with_partners(rare, cross)
+        release(rare)
         found = found.unionByName(_paired(divided.where(F.col("pairs") <= pairs), sides, bound, cross))
         still = divided.where(F.col("pairs") > pairs)
         if still.take(1):
@@ -176,7 +215,7 @@ def verified(pairs: DataFrame, runs_of: RunsOf, threshold: float, cross: bool) -
     """(a, b, jaccard): those of ``pairs`` whose runs reach ``threshold``."""
     end = lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).alias("id"))
     ends = pairs.select(F.explode(F.array(end(cross, "a"), end(False, "b"))).alias("e")).select("e.side", "e.id").distinct()
-    runs = materialize(runs_of(ends))
+    runs = materialize(runs_of(materialize(ends)))
     a = runs.where(F.col("side") == cross).select(F.col("id").alias("a"), F.col("runs").alias("ra"))
     b = runs.where("not side").select(F.col("id").alias("b"), F.col("runs").alias("rb"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", jaccard(F.col("ra"), F.col("rb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
