@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fernglass.llm import keyword_spam, match_groups, name_variants, near_duplicates, packing, question_splits, split_overlap, tokenizer, visual_forms
-from fernglass.llm.lookalike import LOOKALIKE
 from fernglass.runtime import materialize, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,7 +84,9 @@ def oracle_sql() -> dict[str, str]:
     return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
 
 
-_FROM, _TO = "".join(LOOKALIKE), "".join(LOOKALIKE.values())
+# Letters of other scripts and the Latin ones they look like, written down for the SQL apart from the library's own table
+_FROM = "аеорсухіјѕһԁԛԝӏѵАВЕКМНОРСТУХІЈЅԚԜԌҮҺӀαγινορυϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧɑɡı"
+_TO = "aeopcyxijshdqwlvABEKMHOPCTYXIJSQWGYHIayivopucjABEZHIKMNOPTYXagi"
 _WIDE, _PLAIN = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
 _INVISIBLE = r"[\x{ad}\x{34f}\x{61c}\x{180b}-\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}]"
 _SPACES = r"[\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
@@ -96,6 +97,7 @@ def folded(x: str) -> str:
     x = f"regexp_replace(regexp_replace({x}, '{_INVISIBLE}', '', 'g'), '{_SPACES}', ' ', 'g')"
     for a, b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("Ⅳ", "IV"), ("…", "..."), ("\u2011", "-"), ("\u2010", "-"), ("\u2012", "-"), ("\u2212", "-")):
         x = f"replace({x}, '{a}', '{b}')"
+    x = f"trim(regexp_replace({x}, ' +', ' ', 'g'))"
     return f"nfc_normalize(translate(translate({x}, '{_WIDE}', '{_PLAIN}'), '{_FROM}', '{_TO}'))"
 
 

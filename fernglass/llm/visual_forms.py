@@ -1,15 +1,15 @@
 """Problem 6: one form for text that looks the same but differs in its characters.
 
-The corpus's own clean tokens are the vocabulary. Tokens with characters outside
-ASCII are looked up in tries over it by a weighted edit automaton, in which
-look-alike letters, compatibility forms, the order and composition of marks, and
-invisible characters cost nothing and any other edit costs one; within cost 0, the
-most frequent spelling is chosen. A token that no vocabulary entry matches is
+The corpus's own clean tokens are the vocabulary, as they are spelled. Tokens with
+characters outside ASCII are looked up in tries over it by a weighted edit
+automaton that reads their raw characters: a look-alike of a letter, a
+compatibility form, a composed or decomposed mark, and an invisible character are
+arcs that cost nothing, and any other edit costs one. Of the spellings within cost
+0 the most frequent is chosen. A token that no vocabulary entry matches is
 normalised by the table of :mod:`fernglass.llm.lookalike`.
 
-Tries are built per bucket of the tokens' folded forms, so none holds the whole
-vocabulary, and only vocabulary entries that some such token could match are in
-them.
+Tries are built per bucket of what no free arc changes (how many characters are
+visible, and what the first three look like), so none holds the whole vocabulary.
 """
 
 from __future__ import annotations
@@ -21,15 +21,21 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernglass.llm.lookalike import LOOKALIKE, fold, ignorable
-from fernglass.runtime import materialize
+from fernglass.runtime import if_small, materialize
 
-TOKENS_A_TRIE = 20_000
+TOKENS_A_TRIE = 20_000  # entries and tokens, on the average
 NOT_ASCII = r"[^\x00-\x7F]"
 _BLANK = re.compile(r"(\s+)")
+BLANKS = r"[ \t\n\x0b\f\r]+"
+
+
+def plain_form(value: Column) -> Column:
+    """The form of an ASCII value: blanks collapsed."""
+    return F.trim(F.regexp_replace(value, BLANKS, " "))
 
 
 def split(value: str) -> list[str]:
@@ -54,8 +60,27 @@ def is_clean(token: str) -> bool:
     return not latin and any(c not in LOOKALIKE for c in letters)
 
 
+_LOOKS: dict[str, str] = {}
+
+
+def looks(c: str) -> str:
+    """What a character looks like: a string of letters and marks, empty if it is invisible."""
+    got = _LOOKS.get(c)
+    if got is None:
+        if len(_LOOKS) > 1 << 16:
+            _LOOKS.clear()
+        got = _LOOKS[c] = "" if ignorable(c) else unicodedata.normalize("NFD", fold(c))
+    return got
+
+
+def visible(token: str) -> str:
+    """What stays the same along free arcs, for bucketing: the number of visible characters and what the first three look like."""
+    shape = token if token.isascii() else "".join(map(looks, unicodedata.normalize("NFD", token)))
+    return f"{len(shape)} {shape[:3]}"
+
+
 class Trie:
-    """Vocabulary entries by the characters of their decomposed folded form."""
+    """Vocabulary entries by the characters of their spelling, marks apart from letters."""
 
     def __init__(self) -> None:
         self.nodes: list[dict[str, int]] = [{}]
@@ -63,40 +88,39 @@ class Trie:
 
     def add(self, spelling: str, count: int) -> None:
         at = 0
-        for c in unicodedata.normalize("NFD", fold(spelling)):
+        for c in unicodedata.normalize("NFD", spelling):
             nxt = self.nodes[at].get(c)
             if nxt is None:
                 nxt = self.nodes[at][c] = len(self.nodes)
                 self.nodes.append({})
             at = nxt
-        # an ASCII spelling is its own folded form and stands for all that look like it
+        # an ASCII spelling stands for all that look like it
         entry = (-(1 << 62) if spelling.isascii() else -count, spelling)
         self.ends[at] = min(self.ends.get(at, entry), entry)
 
     def match(self, token: str, budget: int = 0) -> str | None:
         """The spelling reached at the least cost, at most ``budget``; ties go to the most frequent, then the smallest.
 
-        A state is a node with the cost so far. A character that folds to nothing
-        leaves the states as they are; one that folds to others moves them along
-        those for nothing. Within the budget, states also skip a character, take
-        one that isn't there, or exchange one, at cost 1 each.
+        A state is a node with the cost so far. An invisible character leaves the
+        states as they are; any other moves them, for nothing, along every arc whose
+        character looks like it (one that stands for several, along as many arcs).
+        Within the budget, states also skip a character, take one that isn't there,
+        or exchange one, at cost 1 each.
         """
         states = self._closure({0: 0}, budget)
-        for c in unicodedata.normalize("NFD", fold(token)):
-            step: dict[int, int] = {}
-            for node, cost in states.items():
-                child = self.nodes[node].get(c)
-                if child is not None and cost <= step.get(child, budget):
-                    step[child] = cost
-                if cost < budget:
-                    if cost + 1 <= step.get(node, budget):
+        for c in unicodedata.normalize("NFD", token):
+            for shape in looks(c):
+                step: dict[int, int] = {}
+                for node, cost in states.items():
+                    for other, child in self.nodes[node].items():
+                        new = cost + (looks(other) != shape)
+                        if new <= step.get(child, budget):
+                            step[child] = new
+                    if cost < step.get(node, budget):
                         step[node] = cost + 1
-                    for other in self.nodes[node].values():
-                        if cost + 1 <= step.get(other, budget):
-                            step[other] = cost + 1
-            states = self._closure(step, budget)
-            if not states:
-                return None
+                states = self._closure(step, budget)
+                if not states:
+                    return None
         found = [(cost, *self.ends[node]) for node, cost in states.items() if node in self.ends]
         return min(found)[2] if found else None
 
@@ -116,22 +140,22 @@ class Trie:
 
 
 def vocabulary(values: DataFrame) -> DataFrame:
-    """(spelling, folded, n): the clean tokens of a column ``value`` with their counts."""
+    """(spelling, shape, n): the clean tokens of a column ``value`` with their counts, and what buckets them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = Counter()
             for v in b.column(0).to_pylist():
                 n.update(v.split())
-            kept = [(t, t if t.isascii() else fold(t), c) for t, c in n.items() if is_clean(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.string()), pa.array([k[1] for k in kept], pa.string()), pa.array([k[2] for k in kept], pa.int64())], names=["spelling", "folded", "n"])
+            kept = [(t, visible(t), c) for t, c in n.items() if is_clean(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.string()), pa.array([k[1] for k in kept], pa.string()), pa.array([k[2] for k in kept], pa.int64())], names=["spelling", "shape", "n"])
 
-    counted = values.where("value is not null").select("value").mapInArrow(run, "spelling string, folded string, n long")
-    return counted.groupBy("folded", "spelling").agg(F.sum("n").alias("n"))
+    counted = values.where("value is not null").select("value").mapInArrow(run, "spelling string, shape string, n long")
+    return counted.groupBy("shape", "spelling").agg(F.sum("n").alias("n"))
 
 
 def odd_tokens(values: DataFrame) -> DataFrame:
-    """(vid, token, folded): the tokens outside ASCII of each (vid, value), once a value."""
+    """(vid, token, shape): the tokens outside ASCII of each (vid, value), once a value, and what buckets them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,18 +164,19 @@ def odd_tokens(values: DataFrame) -> DataFrame:
                 for t in {t for t in split(v)[::2] if not t.isascii()}:
                     vid.append(i)
                     token.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(vid, pa.string()), pa.array(token, pa.string()), pa.array([fold(t) for t in token], pa.string())], names=["vid", "token", "folded"])
+            yield pa.RecordBatch.from_arrays([pa.array(vid, pa.string()), pa.array(token, pa.string()), pa.array([visible(t) for t in token], pa.string())], names=["vid", "token", "shape"])
 
-    return values.select("vid", "value").mapInArrow(run, "vid string, token string, folded string")
+    return values.select("vid", "value").mapInArrow(run, "vid string, token string, shape string")
 
 
 def spellings(tokens: DataFrame, vocab: DataFrame, budget: int = 0, per_trie: int = TOKENS_A_TRIE) -> DataFrame:
     """(token, form): each distinct token with the spelling chosen for it."""
-    distinct = materialize(tokens.select("token", "folded").distinct())
-    entries = vocab.join(distinct.select("folded").distinct(), "folded", "left_semi")
-    buckets = max(8, -(-distinct.count() // per_trie))
-    rows = distinct.select("folded", "token", F.lit(0).cast("long").alias("n")).unionByName(entries.select("folded", F.col("spelling").alias("token"), "n"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("folded"), F.lit(buckets)))
+    distinct = materialize(tokens.select("token", "shape").distinct())
+    shapes = materialize(distinct.select("shape").distinct())
+    entries = materialize(vocab.join(if_small(shapes), "shape", "left_semi"))
+    buckets = max(8, -(-(distinct.count() + entries.count()) // per_trie))
+    rows = distinct.select("shape", "token", F.lit(0).cast("long").alias("n")).unionByName(entries.select("shape", F.col("spelling").alias("token"), "n"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("shape"), F.lit(buckets)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         trie = Trie()
@@ -167,10 +192,10 @@ def spellings(tokens: DataFrame, vocab: DataFrame, budget: int = 0, per_trie: in
 def visual_forms(values: DataFrame, context: DataFrame | None = None) -> DataFrame:
     """(vid, form): one form for every distinct (vid, value) whose value has characters outside ASCII.
 
-    All other values are their own form. ``context`` (value) gives the vocabulary,
-    by default ``values`` themselves. Every kind of blank becomes a space, each by
-    itself: two blanks don't look like one. Invisible characters around blanks
-    vanish with the token they make up. An empty value is its own form.
+    All other values have the form of :func:`plain_form`. ``context`` (value) gives
+    the vocabulary, by default ``values`` themselves. Every kind of blank is one, and
+    a run of blanks looks like one blank; none stay at the ends. Invisible characters
+    around blanks vanish with the token they make up.
     """
     odd = values.where(F.col("value").rlike(NOT_ASCII)).dropDuplicates(["vid"])
     tokens = materialize(odd_tokens(odd))
@@ -184,8 +209,7 @@ def visual_forms(values: DataFrame, context: DataFrame | None = None) -> DataFra
                 form = {x["token"]: x["form"] for x in m or ()}
                 parts = split(v)
                 parts[::2] = [form.get(t, t) for t in parts[::2]]
-                parts[1::2] = [s if s.isascii() else "".join(" " if unicodedata.category(c) == "Zs" else c for c in s) for s in parts[1::2]]
-                out.append("".join(parts))
+                out.append(" ".join(p for p in parts[::2] if p))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["vid", "form"])
 
     return odd.join(per, "vid", "left").select("vid", "value", "map").mapInArrow(run, "vid string, form string")
@@ -208,13 +232,15 @@ def look_alike_pairs(passages: DataFrame, triples: DataFrame, expanded: int | No
     """
     values = materialize(fields(passages, triples).select("field", "key", "value", F.md5("value").alias("vid")))
     forms = materialize(visual_forms(values).select("vid", F.md5("form").alias("form")))
-    # two different ASCII values never look the same, so only forms of other values can have company
-    wanted = forms.select("form").distinct()
-    plain = values.where(~F.col("value").rlike(NOT_ASCII)).select("field", "key", "vid", F.col("vid").alias("form")).join(wanted, "form", "left_semi")
-    odd = values.select("field", "key", "vid").join(forms, "vid")
+    # two ASCII values look the same only if blanks tell them apart, so others need the company of a form that isn't ASCII
+    ascii_ = values.where(~F.col("value").rlike(NOT_ASCII)).select("field", "key", "vid", F.md5(plain_form(F.col("value"))).alias("form"))
+    wanted = materialize(forms.select("form").unionByName(ascii_.where("form <> vid").select("form")).distinct())
+    plain = ascii_.join(if_small(wanted), "form", "left_semi")
+    odd = values.select("field", "key", "vid").join(if_small(forms), "vid")
     rows = plain.select("field", "form", "vid", "key").unionByName(odd.select("field", "form", "vid", "key")).distinct()
-    several = F.min("vid").over(Window.partitionBy("field", "form")) < F.max("vid").over(Window.partitionBy("field", "form"))
-    rows = materialize(rows.withColumn("several", several).where("several").drop("several"))
+    rows = materialize(rows)
+    several = rows.groupBy("field", "form").agg(F.min("vid").alias("lo"), F.max("vid").alias("hi")).where("lo < hi").select("field", "form")
+    rows = materialize(rows.join(several, ["field", "form"], "left_semi"))
     groups = rows.groupBy("field", "form", "vid").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))
     both = groups.alias("a").join(groups.alias("b"), ["field", "form"]).where("a.vid < b.vid").select("field", "form", F.col("a.vid").alias("va"), F.col("b.vid").alias("vb"), F.col("a.first").alias("fa"), F.col("b.first").alias("fb"), (F.lit(True) if expanded is None else F.col("a.n") * F.col("b.n") <= expanded).alias("full"))
     member = lambda v, k: rows.select("field", "form", F.col("vid").alias(v), F.col("key").alias(k))
@@ -228,4 +254,4 @@ def all_forms(passages: DataFrame, triples: DataFrame) -> DataFrame:
     """(field, key, form): the one form of every title, text and distinct subject that isn't null."""
     values = materialize(fields(passages, triples).select("field", "key", "value", F.md5("value").alias("vid")))
     forms = visual_forms(values)
-    return values.join(forms, "vid", "left").select("field", "key", F.coalesce("form", "value").alias("form")).distinct()
+    return values.join(forms, "vid", "left").select("field", "key", F.coalesce(F.col("form"), plain_form(F.col("value"))).alias("form")).distinct()

@@ -214,6 +214,10 @@ def test_trie():
     assert t.match("Rаilwa​у") == "Railway" and t.match("Mосква") == "Москва"
     assert t.match("café") == "café" and t.match("Railways") is None
     assert t.match("Railways", 1) == "Railway" and t.match("Ralway", 1) == "Railway" and t.match("Railwax", 1) == "Railway" and t.match("Rilways", 1) is None
+    # arcs over raw characters: full width, marks apart, invisible characters, a ligature
+    t.add("fin", 4)
+    assert t.match("Ｒａｉｌｗａｙ") == "Railway" and t.match("cafe\u0301") == "café" and t.match("c\u200baf\u00ade\u0301") == "café" and t.match("ﬁn") == "fin" and t.match("cafe") is None
+    assert V.visible("ﬁn") == V.visible("fin") and V.visible("Rаilwa\u200bу") == V.visible("Railway")
     assert V.is_clean("Москва") and not V.is_clean("Mосква") and not V.is_clean("ａ") and V.is_clean("é")
 
 
@@ -225,7 +229,7 @@ def test_look_alikes(spark, rows):
     t = spark.createDataFrame([("Ann Lee", "r", "", ""), ("Ann Lее", "r", "", ""), (None, "r", "", ""), ("ann lee", "r", "", ""), ("Ann Lее", "q", "", "")], TRIPLE)
     got = rows(V.look_alike_pairs(passages(spark, data), t))
     pairs = [("a", "b"), ("a", "c"), ("b", "c"), ("b", "f"), ("c", "f")]
-    assert got == sorted([("subject", "Ann Lee", "Ann Lее"), ("text", "a", "b")] + [("title", *p) for p in pairs], key=repr)
+    assert got == sorted([("subject", "Ann Lee", "Ann Lее"), ("text", "a", "b"), ("text", "a", "c"), ("text", "b", "c")] + [("title", *p) for p in pairs], key=repr)
     star = rows(V.look_alike_pairs(passages(spark, data), t, expanded=0))
     assert set(star) <= set(got) and {x for r in star if r[0] == "title" for x in r[1:]} == {"a", "b", "c", "f"}
     forms = {(r.field, r.key): r.form for r in V.all_forms(passages(spark, data), t).collect()}
@@ -234,6 +238,15 @@ def test_look_alikes(spark, rows):
     assert V.look_alike_pairs(empty, t.limit(0)).collect() == []
 
 
+def test_blanks(spark, rows):
+    data = [("a", "two  blanks", "x"), ("b", "two blanks", "x"), ("c", "two\u2007blanks", " x"), ("d", " ", ""), ("e", "", None), ("f", "twoblanks", "x\u200b ")]
+    got = rows(V.look_alike_pairs(passages(spark, data), spark.createDataFrame([], TRIPLE)))
+    title = [("title", "a", "b"), ("title", "a", "c"), ("title", "b", "c"), ("title", "d", "e")]
+    assert got == [("text", "a", "c"), ("text", "a", "f"), ("text", "b", "c"), ("text", "b", "f"), ("text", "c", "f"), *title]
+    forms = {(r.field, r.key): r.form for r in V.all_forms(passages(spark, data), spark.createDataFrame([], TRIPLE)).collect()}
+    assert forms["title", "a"] == forms["title", "c"] == "two blanks" and forms["text", "f"] == "x" and forms["title", "d"] == ""
+
+
 def test_look_alikes_of_large_groups(spark):
     data = [(f"a{i:02d}", "Café Bar", f"x{i}") for i in range(60)] + [(f"b{i:02d}", "Сafé Bar", f"y{i}") for i in range(50)]
     got = V.look_alike_pairs(passages(spark, data), spark.createDataFrame([], TRIPLE)).collect()
