@@ -1,15 +1,15 @@
 """Problem 10: pages of repeated keywords, link lists and product tags.
 
 Every document gets features of its content and links. Clear cases are labelled
-weakly by rules over a few of them; bagged decision trees are fitted to a bounded
-sample of those labels and score all documents; a page's score is then moved
-towards the rate of spam on its host, so that a host's company decides where the
-page alone doesn't.
+weakly by four of them; bagged decision trees see all and are fitted to a bounded
+sample of those labels, and score every document, unclear cases included. A page's
+log-odds are then moved by those of its host's spam rate. How far is fitted, too:
+on the labelled sample, with votes of trees that haven't seen the page and host
+rates that leave it out.
 """
 
 from __future__ import annotations
 
-import gc
 import math
 import re
 from collections import Counter
@@ -21,15 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernglass.runtime import materialize
+from fernglass.llm.tokenizer import no_collection
+from fernglass.runtime import if_small, materialize
 
 SAMPLE = 20_000  # weakly labelled documents the trees are fitted to, at most
 TREES, DEPTH, LEAF = 25, 6, 5
-SMOOTHING = 0.1  # how far a host's rate moves a page's score
 PRIOR = 20  # pages of the overall rate that every host is given
+LEAST_ODDS = 0.5 / TREES  # a share of votes counts as at least this, and as at most 1 less this
 CUT = 0.5
 
-FEATURES = ("prose", "links", "repeats", "distinct", "top", "digits", "tags", "separators", "function", "capitals", "size", "stops", "unit")
+FEATURES = ("prose", "links", "repeats", "distinct", "top", "digits", "tags", "separators", "function", "capitals", "size", "stops", "unit", "chars")
 
 # Frequent function words of the languages met.
 FUNCTION_WORDS = set(
@@ -85,18 +86,20 @@ def features(text: str | None) -> list[float]:
         math.log1p(n),
         stops / w,
         w / max(1, len(units)),
+        math.log1p(size),
     ]
 
 
 def weak_label(x: np.ndarray) -> np.ndarray:
-    """1 for clear spam, 0 for clear prose, -1 for neither, by rows of features."""
+    """1 for clear spam, 0 for clear prose, -1 for neither, by rows of features.
+
+    Only the shares of sentences, links, repeated pairs of words and tags tell; the
+    trees see the other features as well, and decide where these don't.
+    """
     f = {name: x[:, i] for i, name in enumerate(FEATURES)}
-    long = f["size"] >= math.log1p(12)
-    bare = (f["prose"] < 0.25) & long
-    spam = bare & ((f["links"] > 0.4) | (f["repeats"] > 0.4) | (f["tags"] > 0.15) | (f["function"] < 0.02) & (f["stops"] < 0.02) | (f["stops"] > 0.2) & (f["function"] < 0.08))
+    spam = (f["prose"] < 0.25) & ((f["links"] > 0.5) | (f["repeats"] > 0.4) | (f["tags"] > 0.15))
     clean = (f["prose"] > 0.7) & (f["links"] < 0.2) & (f["tags"] < 0.05)
-    short = ~long & (f["links"] < 0.3) & (f["tags"] < 0.2)
-    return np.where(spam, 1, np.where(clean | short, 0, -1))
+    return np.where(spam, 1, np.where(clean, 0, -1))
 
 
 @dataclass
@@ -160,29 +163,58 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = DEPTH, leaf: int = LEAF) ->
     return Tree(a[:, 0].astype(np.int64), a[:, 1], a[:, 2].astype(np.int64), a[:, 3].astype(np.int64), a[:, 4])
 
 
-def bag(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = 0) -> list[Tree]:
-    """Trees on bootstrap samples. Without rows there is no tree, with one class every tree is a leaf."""
+def bag(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = 0) -> tuple[list[Tree], np.ndarray]:
+    """(trees on bootstrap samples, each row's share of votes among the trees that haven't seen it; NaN if all have).
+
+    Without rows there is no tree, with one class every tree is a leaf.
+    """
     rng = np.random.default_rng(seed)
-    out = []
+    out: list[Tree] = []
+    votes, voters = np.zeros(len(y)), np.zeros(len(y))
     for _ in range(trees if len(y) else 0):
         rows = rng.integers(0, len(y), len(y))
         out.append(grow(x[rows], y[rows].astype(float)))
-    return out
+        left = np.ones(len(y), bool)
+        left[rows] = False
+        votes[left] += out[-1].predict(x[left])
+        voters += left
+    return out, votes / np.where(voters, voters, np.nan)
 
 
 def vote(trees: list[Tree], x: np.ndarray) -> np.ndarray:
     return np.mean([t.predict(x) for t in trees], axis=0) if trees else np.zeros(len(x))
 
 
+def logit(p):
+    p = np.clip(p, LEAST_ODDS, 1 - LEAST_ODDS)
+    return np.log(p / (1 - p))
+
+
+def fit_weights(page: np.ndarray, host: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[float, float]:
+    """(weight of the page's log-odds, weight of the host's) of a logistic regression without intercept; (1, 0) where a class is missing."""
+    ok = np.isfinite(page) & np.isfinite(host)
+    if not ok.any() or len(set(y[ok])) < 2:
+        return 1.0, 0.0
+    z, t, w = np.column_stack([page, host])[ok], y[ok].astype(float), np.array([1.0, 0.0])
+    start = w.copy()
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge * np.eye(2), z.T @ (p - t) + ridge * (w - start))
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(w[0]), float(max(w[1], 0.0))
+
+
 def document_features(documents: DataFrame) -> DataFrame:
     """(doc_id, host, x, weak): the features of every document, and its weak label (null for none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                x = np.array([features(t) for t in b.column(2).to_pylist()]).reshape(-1, len(FEATURES))
+                with no_collection():
+                    x = np.array([features(t) for t in b.column(2).to_pylist()]).reshape(-1, len(FEATURES))
                 weak = weak_label(x)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32)), pa.array(x.ravel().astype(np.float32)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists, pa.array(weak.astype(np.int32), mask=weak < 0)], names=["doc_id", "host", "x", "weak"])
@@ -190,8 +222,8 @@ def document_features(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.col("source").alias("host"), "text").mapInArrow(run, "doc_id long, host string, x array<float>, weak int")
 
 
-def fit(featured: DataFrame, sample: int = SAMPLE, seed: int = 0) -> list[Tree]:
-    """Bagged trees on about ``sample`` weakly labelled documents, and never more.
+def labelled(featured: DataFrame, sample: int = SAMPLE, seed: int = 0) -> DataFrame:
+    """About ``sample`` weakly labelled rows, and never more.
 
     With more than that, the documents whose hashed id falls below the wanted
     share are taken, so that what reaches the driver doesn't depend on the number
@@ -201,36 +233,45 @@ def fit(featured: DataFrame, sample: int = SAMPLE, seed: int = 0) -> list[Tree]:
     n = weak.count()
     share = 1.0 if n <= sample else 0.98 * sample / n
     h = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
-    rows = weak.where(h < int(share * (1 << 30))).select("doc_id", "x", "weak").limit(sample).toPandas().sort_values("doc_id")
-    if not len(rows):
-        return []
-    return bag(np.stack(rows.x.to_numpy()).astype(np.float64), rows.weak.to_numpy(), seed=seed)
+    return weak.where(h < int(share * (1 << 30))).limit(sample)
 
 
-def scored(documents: DataFrame, sample: int = SAMPLE, smoothing: float = SMOOTHING) -> DataFrame:
+def scored(documents: DataFrame, sample: int = SAMPLE, seed: int = 0) -> DataFrame:
     """(doc_id, page_score, host_rate, score): one row a document.
 
-    ``host_rate`` is the share of spam among the host's pages by their own scores,
-    drawn towards the overall rate where the host has few. ``score`` moves the
-    page's score by ``smoothing`` times the host's difference from the overall
-    rate. Null and blank texts score 0; pages without a host form one group.
+    ``host_rate`` is the share of spam among the host's other pages by their own
+    scores, drawn towards the overall rate where the host has few. ``score`` is the
+    probability after the host's log-odds have moved the page's. Null and blank
+    texts score 0; pages without a host form one group.
     """
     featured = materialize(document_features(documents))
-    trees = fit(featured, sample)
+    known = labelled(featured, sample, seed).select("doc_id", "host", "x", "weak").toPandas().sort_values("doc_id")
+    x = np.stack(known.x.to_numpy()).astype(np.float64) if len(known) else np.zeros((0, len(FEATURES)))
+    y = known.weak.to_numpy()
+    trees, unseen = bag(x, y, seed=seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.asarray(b.column(2).flatten(), np.float64).reshape(-1, len(FEATURES))
-            p = np.where(x[:, FEATURES.index("size")] > 0, vote(trees, x), 0.0)
+            p = np.where(x[:, FEATURES.index("chars")] > 0, vote(trees, x), 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p)], names=["doc_id", "host", "page_score"])
 
     pages = materialize(featured.select("doc_id", "host", "x").mapInArrow(run, "doc_id long, host string, page_score double"))
     spam = F.when(F.col("page_score") >= CUT, 1).otherwise(0)
-    overall = pages.agg(F.coalesce(F.avg(spam), F.lit(0.0)).alias("overall"))
-    hosts = pages.groupBy("host").agg(F.sum(spam).alias("s"), F.count(F.lit(1)).alias("n")).join(F.broadcast(overall))
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("s") + PRIOR * F.col("overall")) / (F.col("n") + PRIOR)).alias("host_rate"), "overall")
-    x = pages.join(hosts, F.col("host").eqNullSafe(F.col("h")))
-    return x.select("doc_id", "page_score", "host_rate", (F.col("page_score") + smoothing * (F.col("host_rate") - F.col("overall"))).alias("score"))
+    total = pages.agg(F.coalesce(F.avg(spam), F.lit(0.0)).alias("overall")).collect()[0].overall
+    hosts = materialize(pages.groupBy(F.col("host").alias("h")).agg(F.sum(spam).alias("s"), F.count(F.lit(1)).alias("n")))
+    # the host's other pages: a page's own score counts once, with its own weight
+    rate = (F.col("s") - spam + PRIOR * F.lit(total)) / (F.col("n") - 1 + PRIOR)
+    rated = pages.join(if_small(hosts), F.col("host").eqNullSafe(F.col("h"))).select("doc_id", "page_score", rate.alias("host_rate"))
+
+    held = labelled(featured, sample, seed).select("doc_id").join(rated, "doc_id").select("doc_id", "host_rate").toPandas().sort_values("doc_id")
+    w_page, w_host = fit_weights(logit(unseen), logit(held.host_rate.to_numpy(float)) - logit(total), y) if len(held) == len(known) else (1.0, 0.0)
+
+    odds = lambda p: F.ln(F.greatest(F.least(p, F.lit(1 - LEAST_ODDS)), F.lit(LEAST_ODDS))) - F.ln(1 - F.greatest(F.least(p, F.lit(1 - LEAST_ODDS)), F.lit(LEAST_ODDS)))
+    moved = w_page * odds(F.col("page_score")) + w_host * (odds(F.col("host_rate")) - float(logit(total)))
+    # a page without any vote for spam (a blank one, for instance) has nothing a host could confirm
+    score = F.when(F.col("page_score") > 0, 1 / (1 + F.exp(-moved))).otherwise(0.0)
+    return rated.select("doc_id", "page_score", "host_rate", score.alias("score"))
 
 
 def spam_documents(documents: DataFrame, cut: float = CUT) -> DataFrame:

@@ -13,6 +13,7 @@ import gc
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,18 @@ _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """Without cyclic garbage collection: nothing here has cycles, and walking a large cache again and again takes longer than the work itself. Workers are used again, so it is turned on afterwards."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def byte_characters() -> list[str]:
     """For each byte one visible character: itself where it is one, else the next free one from 256 on."""
     visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -156,10 +169,10 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", folder:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder, vocabulary)
-        gc.disable()  # nothing here has cycles, and walking the cache again and again takes longer than the encoding
         for b in batches:
             for part in _parts(b):
-                rows = enc.encode_batch(part.column(1).to_pylist())
+                with no_collection():
+                    rows = enc.encode_batch(part.column(1).to_pylist())
                 offsets = np.zeros(len(rows) + 1, np.int32)
                 np.cumsum([len(x) for x in rows], out=offsets[1:])
                 flat = np.fromiter((i for x in rows for i in x), np.int32, int(offsets[-1]))
@@ -175,10 +188,10 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", folder:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder, vocabulary)
-        gc.disable()  # nothing here has cycles, and walking the cache again and again takes longer than the encoding
         for b in batches:
             for part in _parts(b):
-                n = np.array([len(x) for x in enc.encode_batch(part.column(1).to_pylist())], np.int32)
+                with no_collection():
+                    n = np.array([len(x) for x in enc.encode_batch(part.column(1).to_pylist())], np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n)], names=[key, "n_tokens"])
 
     kind = df.schema[key].dataType.simpleString()

@@ -125,7 +125,24 @@ def test_trees():
     rng = np.random.default_rng(0)
     x = rng.random((500, 3))
     y = (x[:, 1] > 0.4).astype(float)
-    trees = K.bag(x[:300], y[:300])
+    trees, unseen = K.bag(x[:300], y[:300])
+    assert ((unseen >= 0.5) == (y[:300] == 1)).mean() > 0.95
     assert ((K.vote(trees, x[300:]) >= 0.5) == (y[300:] == 1)).mean() > 0.97
-    assert K.vote([], x).sum() == 0 and K.bag(x[:0], y[:0]) == []
+    assert K.vote([], x).sum() == 0 and K.bag(x[:0], y[:0])[0] == []
     assert K.grow(x[:5], np.ones(5)).predict(x[:2]).tolist() == [1, 1]
+
+
+def test_hosts_decide_where_pages_do_not():
+    rng = np.random.default_rng(1)
+    host = rng.choice([-2.0, 2.0], 4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-host))).astype(int)
+    page = np.where(rng.random(4000) < 0.5, 0.0, np.where(y, 2.0, -2.0))
+    w_page, w_host = K.fit_weights(page, host, y)
+    assert w_page > 1 and 0.5 < w_host < 1.5
+    assert K.fit_weights(page, host, np.ones(4000)) == (1.0, 0.0)
+    assert K.fit_weights(page, rng.permutation(host), y)[1] < 0.3
+
+
+def test_bare_links_are_spam():
+    x = np.array([K.features("\n".join(f"https://www.host{i}.test/?id={i}" for i in range(9))), K.features(None), K.features(" \n")])
+    assert K.weak_label(x).tolist() == [1, -1, -1] and x[0, K.FEATURES.index("chars")] > 5 and not x[1:].any()
