@@ -28,14 +28,14 @@ def smallest(pairs):
     return {x: find(x) for x in parent}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_of_random_graphs(spark, rows, seed):
+@pytest.mark.parametrize(("seed", "tail"), [(1, 0), (2, 20), (2, 20_000)])
+def test_components_of_random_graphs(spark, rows, seed, tail):
     rng = random.Random(seed)
     ids = [f"{rng.randrange(16**6):06x}" for _ in range(150)]
     pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(90)]
     chain = [f"c{rng.randrange(16**6):06x}" for _ in range(60)]
     pairs += list(zip(chain, chain[1:], strict=False)) + [(None, "x"), ("y", None)]
-    got = dict(rows(min_propagation(spark.createDataFrame(pairs, "a string, b string"))))
+    got = dict(rows(min_propagation(spark.createDataFrame(pairs, "a string, b string"), tail=tail)))
     want = {k: v for k, v in smallest([(a, b) for a, b in pairs if a != b]).items() if any(k in p and p[0] != p[1] for p in pairs)}
     assert got == {k: v for k, v in want.items()}
 
