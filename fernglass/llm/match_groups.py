@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernglass.plans.components import min_propagation, symmetric
-from fernglass.runtime import materialize, release
+from fernglass.runtime import if_small, materialize
 
 BFS_ROUNDS = 12
 
@@ -37,17 +37,13 @@ def peel(edges: DataFrame, rounds: int = BFS_ROUNDS) -> tuple[DataFrame | None,
     if not top:
         return None, None
     spark = edges.sparkSession
-    frontier = materialize(spark.createDataFrame([(top[0].u,)], "u string"))
-    seen = frontier
+    frontier = seen = materialize(spark.createDataFrame([(top[0].u,)], "u string"))
     for _ in range(rounds):
-        nxt = edges.join(frontier, "u", "left_semi").select(F.col("v").alias("u")).distinct().join(seen, "u", "left_anti")
-        nxt = materialize(nxt)
-        if not nxt.take(1):
+        # each level is written once; what was seen is all levels together
+        frontier = materialize(edges.join(if_small(frontier), "u", "left_semi").select(F.col("v").alias("u")).distinct().join(if_small(seen), "u", "left_anti"))
+        if not frontier.take(1):
             break
-        grown = materialize(seen.unionByName(nxt))
-        if seen is not frontier:
-            release(seen)
-        seen, frontier = grown, nxt
+        seen = seen.unionByName(frontier)
     least = seen.agg(F.min("u").alias("m")).collect()[0].m
     return seen, least
 
@@ -65,12 +61,17 @@ def group_ids(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = BFS_RO
     if giant is None:
         return ids.select("passage_id", F.col("passage_id").alias("group_id"))
     member = giant.select(F.col("u").alias("id"))
-    outside = edges.join(member.select(F.col("id").alias("u")), "u", "left_anti")
-    inside_v = member.select(F.col("id").alias("v"))
+    outside = edges.join(if_small(member.select(F.col("id").alias("u"))), "u", "left_anti")
+    inside_v = if_small(member.select(F.col("id").alias("v")))
     # edges that leave what was reached exist only where the search was cut short; they now leave one vertex
     border = outside.join(inside_v, "v", "left_semi").select("u", F.lit(least).alias("v")).distinct()
-    rest = outside.join(inside_v, "v", "left_anti").unionByName(border)
-    small = materialize(min_propagation(rest, "u", "v"))
+    border = materialize(border)
+    rest = outside.join(inside_v, "v", "left_anti")
+    if border.take(1):
+        small = min_propagation(rest.unionByName(border), "u", "v")
+    else:
+        small = min_propagation(outside, "u", "v", both_ways=True)
+    small = materialize(small)
     whole = small.where(F.col("id") == F.lit(least)).select("component").collect()  # at most one row
     label = min(whole[0].component, least) if whole else least
     known = small.where(F.col("id") != F.lit(least)).select("id", "component").unionByName(member.select("id", F.lit(label).alias("component")))
