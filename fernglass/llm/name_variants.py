@@ -16,10 +16,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import permutations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernglass.llm.lookalike import fold
@@ -29,6 +30,7 @@ from fernglass.runtime import materialize
 SHORTEST_SUFFIX = 4
 BLOCK = 40  # nodes a suffix may have before it is refined
 RATIO, RATIO_SHORT = 0.84, 0.8  # of tokens from 7 letters on, and of those of 5 or 6
+ALONE = 7  # letters of a name of one token
 TOKENS = 7  # names of more tokens only match in the order of their tokens
 ABBREVIATED = 6  # letters up to which a token may abbreviate another by some of its letters
 ALIASES = 100_000  # rows the table of short forms may have
@@ -96,15 +98,24 @@ def names_match(a: list[str], b: list[str]) -> bool:
     """Whether two names' tokens can be matched one to one.
 
     Equal tokens belong to each other. One matched pair of at least 5 letters
-    must be equal or alike, at most one (of more than two tokens, two) may be
-    merely alike, and both names need two tokens or more.
+    must be equal or alike (in a name of two tokens, one of 3 if the other is equal
+    or an abbreviation), and at most one (of more than two tokens, two) may be
+    merely alike. Names of one token, of at least ``ALONE`` letters, must be alike.
+    A name of two tokens also matches one that has both and one more (a middle name).
     """
     k = len(a)
-    if k != len(b) or k < 2:
+    if k > len(b):
+        a, b, k = b, a, len(b)
+    if len(b) == k + 1:
+        return k == 2 and not Counter(a) - Counter(b) and max(map(len, a)) >= 5
+    if k != len(b):
         return False
+    if k == 1:
+        return a == b or min(len(a[0]), len(b[0])) >= ALONE and token_match(a[0], b[0]) == 2
     common = Counter(a) & Counter(b)
     rest_a, rest_b = sorted((Counter(a) - common).elements()), sorted((Counter(b) - common).elements())
     firm = any(len(t) >= 5 for t in common)
+    terse = k == 2 and any(len(t) >= 3 for t in common)
     level = [[token_match(x, y) for y in rest_b] for x in rest_a]
     if any(not any(row) for row in level):
         return False
@@ -112,6 +123,7 @@ def names_match(a: list[str], b: list[str]) -> bool:
     for order in permutations(range(m)) if m <= TOKENS else [range(m)]:
         got = [level[i][j] for i, j in enumerate(order)]
         sure = firm or any(g == 2 and min(len(rest_a[i]), len(rest_b[j])) >= 5 for (i, j), g in zip(enumerate(order), got, strict=True))
+        sure = sure or terse and 2 not in got
         if 0 not in got and sure and got.count(2) <= 1 + (k > 2):
             return True
     return False
@@ -154,14 +166,31 @@ def _ends(token, shortest: int):
     return F.when(F.length(token) >= shortest, F.array(F.concat(F.lit("<"), F.right(token, F.lit(shortest))), F.concat(F.lit(">"), F.left(token, F.lit(shortest))))).otherwise(F.array().cast("array<string>"))
 
 
+def _ends_of(others, alone, single):
+    """[(j, r)]: the first 3 and last 4 letters of the j-th other token; for a name of one token, all of ``single`` under 0."""
+    end = lambda j, r: F.named_struct(F.lit("j"), j, F.lit("r"), r)
+    of = F.transform(others, lambda o, j: F.array_compact(F.array(end(j, F.concat(F.lit(">"), F.left(o, F.lit(3)))), F.when(F.length(o) > 4, end(j, F.concat(F.lit("<"), F.right(o, F.lit(4))))))))
+    return F.when(alone, F.transform(single, lambda r: end(F.lit(0), r))).otherwise(F.flatten(of))
+
+
 def blocks(nodes: DataFrame, shortest: int = SHORTEST_SUFFIX) -> DataFrame:
-    """(node, key, first, second, others): suffix keys, the refinements of each by the other tokens, and these."""
-    t = nodes.select("node", F.split("node", " ").alias("t")).where(F.size("t") > 1)
-    p = t.select("node", "t", F.posexplode("t").alias("i", "token"))
+    """(node, key, first, second, third, others): suffix keys, the refinements of each by the other tokens, and these.
+
+    A name without a token of ``shortest`` letters has its tokens of two letters or
+    more as keys. A name of one token is refined by its own longer ends.
+    """
+    p = nodes.select("node", F.split("node", " ").alias("t")).select("node", "t", F.posexplode("t").alias("i", "token"))
+    own = F.when(F.forall("t", lambda x: F.length(x) < shortest) & (F.length("token") > 1), F.array(F.concat(F.lit("="), "token"))).otherwise(_ends(F.col("token"), shortest))
     others = F.filter("t", lambda x, j: j != F.col("i"))
-    first = F.array_distinct(F.concat(F.transform(others, lambda o: F.concat(F.lit(">"), F.left(o, F.lit(1)))), F.transform(F.filter(others, lambda o: F.length(o) > 3), lambda o: F.concat(F.lit("<"), F.right(o, F.lit(3))))))
-    second = F.array_distinct(F.concat(F.transform(others, lambda o: F.concat(F.lit(">"), F.left(o, F.lit(3)))), F.transform(F.filter(others, lambda o: F.length(o) > 4), lambda o: F.concat(F.lit("<"), F.right(o, F.lit(4))))))
-    return p.select("node", F.explode(F.array_distinct(_ends(F.col("token"), shortest))).alias("key"), first.alias("first"), second.alias("second"), others.alias("others"))
+    alone = F.size("t") == 1
+
+    def refined(left: int, right: int, from_length: int, end: int):
+        by = F.array_distinct(F.concat(F.transform(others, lambda o: F.concat(F.lit(">"), F.left(o, F.lit(left)))), F.transform(F.filter(others, lambda o: F.length(o) > from_length), lambda o: F.concat(F.lit("<"), F.right(o, F.lit(right))))))
+        return F.when(alone, F.array(F.concat(F.lit("1>"), F.left("token", F.lit(end))), F.concat(F.lit("1<"), F.right("token", F.lit(end))))).otherwise(by)
+
+    # of two tokens at most one is merely alike: whoever matches has this one whole, or the other
+    third = F.when(F.size("t").isin(2, 3), F.concat(F.array(F.concat(F.lit("t"), "token")), F.transform(others, lambda o: F.concat(F.lit("o"), o)))).otherwise(F.array(F.lit("1")))
+    return p.select("node", F.explode(F.array_distinct(own)).alias("key"), refined(1, 3, 3, 5).alias("first"), _ends_of(others, alone, refined(3, 4, 4, 6)).alias("second"), third.alias("third"), others.alias("others"))
 
 
 def _abbreviations(others, r):
@@ -180,26 +209,50 @@ def _abbreviated(others, r):
     return F.array_distinct(F.flatten(F.transform(F.filter(others, lambda o: (F.length(o) > 1) & (F.concat(F.lit(">"), F.left(o, F.lit(1))) == r)), of)))
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """``rows`` of keys that several have, with their number ``n``; keys are counted by an aggregation, so a hot one burdens no task."""
+    n = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return materialize(rows.join(n, "key"))
+
+
 def candidates(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b), a < b, without repeats: nodes that share a suffix, refined where it is common.
 
-    In the last refinement, tokens meet by their beginnings and endings, and short
-    ones also with every token that they may abbreviate.
+    In the second refinement, tokens meet by their beginnings and endings, and short
+    ones also with every token that they may abbreviate. In blocks that stay large,
+    names of two tokens must have one of them in common, and a longer one looks for
+    others only by its least common token, as :func:`names_match` demands all. No
+    suffix is discarded.
     """
-    rows = blocks(nodes).select("node", F.xxhash64("key").alias("key"), "first", "second", "others")
-    size = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    rows = materialize(rows.withColumn("n", size).where("n > 1"))
+    rows = _sized(blocks(nodes).select("node", F.xxhash64("key").alias("key"), "first", "second", "third", "others"))
     kept = [rows.where(F.col("n") <= block).select("node", "key")]
-    wide = rows.where(F.col("n") > block).select("node", F.explode("first").alias("r"), "key", "second", "others").select("node", F.xxhash64("key", "r").alias("key"), "second", "others", "r")
-    wide = materialize(wide.withColumn("n", size).where("n > 1"))
+    wide = rows.where(F.col("n") > block).select("node", F.explode("first").alias("r"), "key", "second", "third", "others").select("node", F.xxhash64("key", "r").alias("key"), "second", "third", "others", "r")
+    wide = _sized(wide)
     kept.append(wide.where(F.col("n") <= block).select("node", "key"))
-    hot = wide.where(F.col("n") > block)
-    kept.append(hot.select("node", F.explode("second").alias("r"), "key").select("node", F.xxhash64("key", "r").alias("key")))
+    hot = wide.where(F.col("n") > block).drop("n")
+    narrow = hot.select("node", "key", F.explode("second").alias("s"), "third").select("node", F.col("key").alias("within"), "s.j", F.xxhash64("key", "s.r").alias("key"), "third")
+    n = narrow.select("node", "key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    narrow = materialize(narrow.join(n, "key"))
+    kept.append(narrow.where((F.col("n") > 1) & (F.col("n") <= block)).select("node", "key").distinct())
+    large = narrow.where(F.col("n") > block)
+    whole = large.select("node", F.size("third").alias("k"), F.explode("third").alias("r"), "key").select("node", "k", F.xxhash64("key", "r").alias("key")).distinct()
+    kept.append(whole.where("k = 2").select("node", "key"))
+    middle = whole.where("k = 2").select(F.col("node").alias("s"), "key").join(whole.where("k = 3").select(F.col("node").alias("f"), "key"), "key").select(F.least("s", "f").alias("a"), F.greatest("s", "f").alias("b"))
+    # every token must be met, so of three or more the least common decides: only by its ends a node looks for others in large blocks
+    size = narrow.groupBy("node", "within", "j").agg(F.max("n").alias("n")).groupBy("node", "within").agg(F.min_by("j", F.struct("n", "j")).alias("j"))
+    large = large.where(F.size("third") != 2)
+    probe = large.join(size, ["node", "within", "j"]).select(F.col("node").alias("s"), "key").distinct()
+    sought = probe.join(large.select(F.col("node").alias("f"), "key").distinct(), "key").where("s <> f").select(F.least("s", "f").alias("a"), F.greatest("s", "f").alias("b"))
     begins = hot.where(F.col("r").startswith(">"))
     short, full = (begins.select("node", "key", F.explode(f(F.col("others"), F.col("r"))).alias("x")) for f in (_abbreviations, _abbreviated))
     met = short.withColumnRenamed("node", "s").join(full.withColumnRenamed("node", "f"), ["key", "x"]).where("s <> f").select(F.least("s", "f").alias("a"), F.greatest("s", "f").alias("b"))
-    every = kept[0].unionByName(kept[1]).unionByName(kept[2])
-    return every.select(F.col("node").alias("a"), "key").join(every.select(F.col("node").alias("b"), "key"), "key").where("a < b").select("a", "b").unionByName(met).distinct()
+    # few rows, from each of which many pairs are made: over all cores, however few files they are read from
+    cores = nodes.sparkSession.sparkContext.defaultParallelism
+    every = reduce(DataFrame.unionByName, kept).repartition(max(cores, rows.rdd.getNumPartitions()), "key").withColumn("k", F.size(F.split("node", " ")))
+    ka, kb = F.col("ka"), F.col("kb")
+    same = every.select(F.col("node").alias("a"), "key", F.col("k").alias("ka")).join(every.select(F.col("node").alias("b"), "key", F.col("k").alias("kb")).hint("merge"), "key")
+    same = same.where("a < b").where((ka == kb) | (F.abs(ka - kb) == 1) & (F.least(ka, kb) == 2)).select("a", "b")
+    return same.unionByName(met).unionByName(middle).unionByName(sought).distinct()
 
 
 def links(pairs: DataFrame) -> DataFrame:
@@ -211,8 +264,8 @@ def links(pairs: DataFrame) -> DataFrame:
             ok = [names_match(x.split(" "), y.split(" ")) for x, y in zip(a, b, strict=True)]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    # most candidates differ too much in length to match, abbreviations aside
-    return pairs.where(F.size(F.split("a", " ")) == F.size(F.split("b", " "))).mapInArrow(run, "a string, b string")
+    ka, kb = (F.size(F.split(c, " ")) for c in "ab")
+    return pairs.where((ka == kb) | (F.abs(ka - kb) == 1) & (F.least(ka, kb) == 2)).mapInArrow(run, "a string, b string")
 
 
 def entities(names: DataFrame, edges: DataFrame) -> DataFrame:

@@ -57,7 +57,15 @@ def test_common_subsequence():
         ("a zumfiditza", "abrelin zumfiditza", True),
         ("b c", "b c d", False),
         ("b c", "b d", False),
-        ("single", "single", False),
+        ("single", "single", True),
+        ("kakunrunbul", "kakunrunbull", True),
+        ("valbospan", "valbospann", True),
+        ("theme", "theme's", False),
+        ("bo fox", "b fox", True),
+        ("bo fox", "b foxx", False),
+        ("bastirel fomvesselkan", "bastirel anna fomvesselkan", True),
+        ("bastirel fomvesselkan", "gwestina anna fomvesselkan", False),
+        ("bo fox", "bo ann fox", False),
     ],
 )
 def test_match(a, b, same):
@@ -124,3 +132,14 @@ def test_large_entities_are_listed_whole(spark):
     r = spark.createDataFrame([], RAW)
     got = V.variant_pairs(t, r, spark.createDataFrame([], "short_form string, long_form string")).collect()
     assert len(names) > 400 and len(got) == len(set(got)) == len(names) * (len(names) - 1) // 2
+
+
+def test_single_short_and_middle_names(spark, rows):
+    names = ["Kakunrunbul", "Kakunrunbull", "Bo Fox", "Fox, B.", "Bastirel Fomvesselkan", "Bastirel Anna Fomvesselkan"]
+    t = spark.createDataFrame([(x, None, "PERSON", None, "", "") for x in names], TR)
+    r = spark.createDataFrame([], RAW)
+    al = spark.createDataFrame([], "short_form string, long_form string")
+    assert rows(V.variant_pairs(t, r, al)) == sorted(tuple(sorted(p)) for p in zip(names[::2], names[1::2], strict=True))
+    nodes = spark.createDataFrame([(" ".join(sorted(n.casefold().split())),) for n in names], "node string")
+    pairs = {frozenset(p) for p in V.candidates(nodes, 1).collect()}
+    assert {"kakunrunbul", "kakunrunbull"} in pairs and {"bastirel fomvesselkan", "anna bastirel fomvesselkan"} in pairs
