@@ -65,7 +65,9 @@ def dedupe(passages: DataFrame, threshold: float = NEAR_DUPLICATE, size: int = S
     exact = materialize(exact_duplicates(passages, digest))
     left = passages.join(exact.select(F.col("removed").alias("passage_id")), "passage_id", "left_anti").where("text is not null").select(F.col("passage_id").alias("id"), "text")
     comp = materialize(min_propagation(near_pairs(left, threshold, size), "a", "b").where("id <> component"))
-    runs = left.select("id", T.shingles(F.col("text"), size).alias("runs"))
+    # only the texts that stand in a component are cut into runs again
+    touched = comp.select(F.explode(F.array("id", "component")).alias("id")).distinct()
+    runs = materialize(left.join(touched, "id", "left_semi").select("id", T.shingles(F.col("text"), size).alias("runs")))
     near = comp.join(runs, "id").join(runs.select(F.col("id").alias("component"), F.col("runs").alias("root")), "component")
     near = near.select(F.col("id").alias("removed_id"), F.col("component").alias("kept_id"), F.lit("near").alias("kind"), F.round(T.jaccard(F.col("runs"), F.col("root")), 4).alias("jaccard"))
     root = comp.select(F.col("id").alias("kept"), F.col("component").alias("top"))

@@ -6,6 +6,7 @@ import hashlib
 import math
 import time
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernglass.params import BOOTSTRAP_SEED, CATEGORIES, CONFIDENCE, GRAPH_WIN_DEPTH, LEAST_PAIRS, P50_LIMIT, P95_LIMIT, RESAMPLES, WARM_UP, Z_95
+from fernglass.runtime import materialize
 
 METRICS = ("recall@5", "recall@10", "ndcg@10", "mrr")
 
@@ -121,6 +123,37 @@ def pick_baseline(means: DataFrame, metric: str = "ndcg@10", candidates: tuple[s
     return x.groupBy("category").agg(F.max_by("config", F.struct("mean", -order)).alias("config"))
 
 
+def compare_to_baseline(scores: dict[str, DataFrame], configs: tuple[str, ...], resamples: int = RESAMPLES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
+    """(config, baseline, category, metric, diff, ci_low, ci_high, excludes_zero, n): each configuration against each category's better baseline.
+
+    ``scores`` has (query_id, category, metric, value) of every configuration and of
+    the candidates of :func:`pick_baseline`. All queries together are the category
+    ``pooled``. Categories of fewer than two queries have no interval and no row.
+    """
+    pooled = lambda s: s.unionByName(s.withColumn("category", F.lit("pooled")))
+    every = {n: pooled(s.where("category is not null")) for n, s in scores.items()}
+    means = [mean_scores(scores[n]).where("n > 0").withColumn("config", F.lit(n)) for n in ("bm25", "dense")]
+    best = pick_baseline(means[0].unionByName(means[1])).withColumnRenamed("config", "baseline")
+    base = reduce(DataFrame.unionByName, [every[n].withColumn("baseline", F.lit(n)) for n in ("bm25", "dense")]).join(F.broadcast(best), ["category", "baseline"])  # a row a category
+    base = materialize(base)
+    out = []
+    for name in configs:
+        pairs = materialize(paired(every[name], base.drop("baseline")))
+        enough = pairs.groupBy("category", "metric").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAIRS).select("category", "metric")
+        out.append(paired_bootstrap(pairs.join(F.broadcast(enough), ["category", "metric"]), resamples, seed).withColumn("config", F.lit(name)))
+    x = reduce(DataFrame.unionByName, out).join(best, "category")
+    return x.select("config", "baseline", "category", "metric", "diff", "ci_low", "ci_high", "excludes_zero", "n")
+
+
+def before_and_after(before: DataFrame, after: DataFrame, resamples: int = RESAMPLES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
+    """(category, metric, before, after, diff, ci_low, ci_high, excludes_zero, n) of one configuration's scores before and after a change."""
+    pooled = lambda s: s.unionByName(s.withColumn("category", F.lit("pooled")))
+    pairs = materialize(paired(pooled(after), pooled(before)))
+    mean = pairs.groupBy("category", "metric").agg(F.avg("b").alias("before"), F.avg("a").alias("after"), F.count(F.lit(1)).alias("m")).where(F.col("m") >= LEAST_PAIRS).drop("m")
+    ci = paired_bootstrap(pairs.join(F.broadcast(mean.select("category", "metric")), ["category", "metric"]), resamples, seed)
+    return mean.join(ci, ["category", "metric"]).select("category", "metric", "before", "after", "diff", "ci_low", "ci_high", "excludes_zero", "n")
+
+
 # --- graph wins ----------------------------------------------------------------
 
 

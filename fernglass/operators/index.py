@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,13 @@ from pyspark.sql import functions as F
 
 from fernglass.functions import text as T
 from fernglass.operators.ingest import new_rows
+from fernglass.params import HUB_DEGREE
+from fernglass.runtime import if_small
 from fernglass.sources.files import table_health
 
 FIELDS = ("title", "text")
 DIMENSIONS = 64
+NAME_WORD = r"[\p{L}\p{N}_]+"
 
 
 # --- lexical ---------------------------------------------------------------
@@ -121,9 +125,67 @@ def triples_of(triples: DataFrame, passages: DataFrame) -> DataFrame:
     return triples.join(passages.select("passage_id"), "passage_id", "left_semi")
 
 
+def without_hubs(edges: DataFrame, most: int) -> DataFrame:
+    """:func:`adjacency` between nodes of at most ``most`` edges."""
+    adj = adjacency(edges)
+    ok = adj.groupBy("node").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") <= most).select("node")
+    return adj.join(ok, "node", "left_semi").join(ok.select(F.col("node").alias("nbr")), "nbr", "left_semi")
+
+
+def name_keys(names: DataFrame) -> DataFrame:
+    """(name, key, start): names of two characters or more in folded form, with their first two words (the only one of a single word)."""
+    n = names.where("name is not null").select("name", T.fold_case("name").alias("key")).where(F.length("key") >= 2)
+    return n.select("name", "key", F.array_join(F.slice(F.regexp_extract_all("key", F.lit(NAME_WORD), F.lit(0)), 1, 2), " ").alias("start")).where("start <> ''")
+
+
 # --- stored indexes ----------------------------------------------------------
 
 
+class SearchStore:
+    """Everything the retrievers read, built once under a folder and searched many times.
+
+    Postings lie in ``BUCKETS`` folders by a hash of the term, sorted by term, so
+    that a search reads the folders of its terms only; links of the graph lie the
+    same way by node. Building replaces what is there.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _write(self, df: DataFrame, name: str, by: str | None = None) -> None:
+        if by:
+            df = df.withColumn("bucket", self._bucket(F.col(by))).repartition("bucket").sortWithinPartitions("bucket", by)
+        w = df.write.mode("overwrite")
+        (w.partitionBy("bucket") if by else w).parquet(f"{self.folder}/{name}")
+
+    def _bucket(self, column):
+        return F.pmod(F.xxhash64(column), F.lit(self.BUCKETS)).cast("int")
+
+    def build(self, corpus: DataFrame, triples: DataFrame, hub: int = HUB_DEGREE) -> None:
+        an = analyzed(corpus)
+        self._write(postings(an), "postings", "term")
+        self._write(field_stats(an), "fields")
+        texts = corpus.select("passage_id", T.display(F.col("title"), F.col("text")).alias("text"))
+        self._write(encode(texts, "passage_id"), "vectors")
+        self._write(corpus.select("passage_id", T.display(F.col("title"), F.coalesce("text", F.lit(""))).alias("text")), "texts")
+        edges = graph_edges(triples)
+        self._write(without_hubs(edges, hub), "links", "node")
+        self._write(name_keys(edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct()), "names")
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def of(self, name: str, column: str, wanted: DataFrame) -> DataFrame:
+        """The rows of a bucketed table whose ``column`` is among ``wanted``; only buckets that may hold some are read."""
+        buckets = [r[0] for r in wanted.select(self._bucket(F.col(column))).distinct().collect()]  # at most ``BUCKETS`` numbers
+        return self.table(name).where(F.col("bucket").isin(buckets)).join(if_small(wanted), column, "left_semi").drop("bucket")
+
+    def health(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [table_health(self.spark, n, f"{self.folder}/{n}") for n in ("postings", "vectors", "links", "names")])
+
+
 class StoredIndex:
     """A table under a path with ``build`` (replace), ``add`` (only rows with new keys) and ``health``."""
 

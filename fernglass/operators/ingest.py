@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fernglass.functions import text as T
 from fernglass.params import INGEST_SEED, TARGET_PASSAGES
+from fernglass.runtime import materialize
 
 
 def latest(passages: DataFrame) -> DataFrame:
@@ -94,8 +95,12 @@ def sample(rows: DataFrame, seed: int = INGEST_SEED, target: int = TARGET_PASSAG
     first = owned.groupBy("passage_id").agg(F.min(F.struct("key", "id", "pos")).alias("f"))
     new = first.groupBy(F.col("f.id").alias("id")).agg(F.count(F.lit(1)).alias("new"))
     seq = good.select("id", key.alias("key")).join(new, "id", "left").withColumn("new", F.coalesce("new", F.lit(0)))
-    before = F.coalesce(F.sum("new").over(Window.orderBy("key", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    taken = seq.withColumn("before", before).where(F.col("before") < target).select("id")
+    # sums per range of keys first, which are few, then within each range: no task orders all questions
+    seq = materialize(seq.withColumn("range", F.substring("key", 1, 3)))
+    prior = Window.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = seq.groupBy("range").agg(F.sum("new").alias("m")).select("range", F.coalesce(F.sum("m").over(prior.orderBy("range")), F.lit(0)).alias("before"))
+    inner = F.coalesce(F.sum("new").over(prior.partitionBy("range").orderBy("key", "id")), F.lit(0))
+    taken = seq.withColumn("inner", inner).join(F.broadcast(ranges), "range").where(F.col("before") + F.col("inner") < target).select("id")
     questions = good.join(taken, "id", "left_semi")
     held = owned.join(taken, "id", "left_semi")
     pick = F.row_number().over(Window.partitionBy("passage_id").orderBy("key", "pos"))
@@ -106,4 +111,7 @@ def sample(rows: DataFrame, seed: int = INGEST_SEED, target: int = TARGET_PASSAG
 
 def new_rows(old: DataFrame, delivered: DataFrame, key: str = "passage_id") -> DataFrame:
     """The delivered rows whose key isn't among ``old``, one row a key; what stands stays as it is."""
-    return delivered.where(F.col(key).isNotNull()).join(old.select(key), key, "left_anti").dropDuplicates([key])
+    fresh = delivered.where(F.col(key).isNotNull()).join(old.select(key), key, "left_anti")
+    rest = [c for c in fresh.columns if c != key]
+    # of several rows the least by all columns, so that a rerun takes the same one
+    return fresh.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*(F.to_json(F.struct(c)).alias(c) for c in rest))).alias("r")).select(key, "r.*").select(*fresh.columns) if rest else fresh.distinct()

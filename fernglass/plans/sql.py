@@ -102,8 +102,15 @@ def graph(k: int) -> str:
     graph_hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id)::INT AS rank FROM gs) WHERE rank <= {k})"""
 
 
-def fused(k: int) -> str:
-    return f"""{CORPUS}, {SEARCHES}, {ANALYZED}, {bm25(100)}, {dense(100)}, {EDGES}, {NODES}, {ADJACENCY}, {links("searches")}, {graph(50)},
+#: instead of SEARCHES: all labeled queries that name a node
+LINKED = rf"""eq AS (SELECT DISTINCT query_id, text FROM labeled_queries WHERE text IS NOT NULL),
+ek AS (SELECT array_to_string(regexp_extract_all(lower(n), '[\p{{L}}\p{{N}}_]+'), ' ') AS seq FROM (SELECT subject AS n FROM triples WHERE object IS NOT NULL UNION SELECT object FROM triples WHERE subject IS NOT NULL) WHERE length(lower(n)) >= 2),
+searches AS (SELECT query_id, text FROM eq WHERE query_id IN (
+  SELECT query_id FROM (SELECT query_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), ' ') || ' ' AS words FROM eq) JOIN ek ON seq <> '' AND contains(words, ' ' || seq || ' ')))"""
+
+
+def fused(k: int, searches: str = SEARCHES) -> str:
+    return f"""{CORPUS}, {searches}, {ANALYZED}, {bm25(100)}, {dense(100)}, {EDGES}, {NODES}, {ADJACENCY}, {links("searches")}, {graph(50)},
     legs AS (
       SELECT query_id, passage_id, 'b' AS leg, rank, score FROM bm25_hits UNION ALL SELECT query_id, passage_id, 'd', rank, score FROM dense_hits
       UNION ALL SELECT query_id, passage_id, 'g', rank, score FROM graph_hits
@@ -139,7 +146,13 @@ def metrics(name: str, hits: str) -> str:
     )"""
 
 
-SCORES = f"""{CORPUS}, {SEARCHES}, {ANALYZED}, {bm25(10)}, {dense(10)}, {LABELED}, {metrics("sb", "bm25_hits")}, {metrics("sd", "dense_hits")}"""
+def scores(searches: str) -> str:
+    return f"""{CORPUS}, {searches}, {ANALYZED}, {bm25(10)}, {dense(10)}, {LABELED}, {metrics("sb", "bm25_hits")}, {metrics("sd", "dense_hits")}"""
+
+
+SCORES = scores(SEARCHES)
+METRICS = "SELECT query_id, category, metric, round(value, 6) AS value, 'bm25' AS config FROM sb UNION ALL SELECT query_id, category, metric, round(value, 6), 'dense' FROM sd"
+FUSED_ROWS = "SELECT query_id, passage_id, round(score, 9) AS score, rank, round(prov_bm25, 9) AS prov_bm25, round(prov_dense, 9) AS prov_dense, round(prov_graph, 9) AS prov_graph FROM fused"
 
 _STOPS = ", ".join(f"'{w}'" for w in STOPWORDS)
 
@@ -189,13 +202,32 @@ _FORM = f"sha256(trim(regexp_replace(text, '{_BLANKS}', ' ', 'g')))"
 def shingled(source: str) -> str:
     """(id, run): distinct runs of three words."""
     return rf"""
-    w AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM {source} WHERE text IS NOT NULL),
+    w AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '{_BLANKS}'), lambda x: x <> '') AS w FROM {source} WHERE text IS NOT NULL),
     sh AS (SELECT DISTINCT id, run FROM (SELECT id, unnest(CASE WHEN len(w) <= 3 THEN [array_to_string(w, ' ')] ELSE list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS run FROM w WHERE len(w) > 0)),
     sz AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
     common AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM sh a JOIN sh b ON a.run = b.run AND a.id < b.id GROUP BY ALL),
     near AS (SELECT a, b, c / (x.n + y.n - c) AS jaccard FROM common JOIN sz x ON x.id = a JOIN sz y ON y.id = b WHERE c / (x.n + y.n - c) >= 0.9)"""
 
 
+def wins(searches: str) -> str:
+    return f"""
+        WITH {fused(10, searches)}, {LABELED}, j AS (SELECT query_id, unnest(map_keys(relevant)) AS passage_id FROM labeled WHERE category = 'multi-hop-relational'),
+        x AS (SELECT j.*, d.rank AS dense_rank, f.rank AS fused_rank, coalesce(f.prov_graph, 0) AS g FROM j LEFT JOIN dense_hits d ON d.query_id = j.query_id AND d.passage_id = j.passage_id AND d.rank <= 10 LEFT JOIN fused f ON f.query_id = j.query_id AND f.passage_id = j.passage_id)
+        SELECT query_id, passage_id, dense_rank, fused_rank, (fused_rank IS NOT NULL AND g > 0 AND dense_rank IS NULL) AS graph_win,
+          CASE WHEN fused_rank IS NOT NULL AND g > 0 AND dense_rank IS NULL THEN 'graph-win' WHEN dense_rank IS NOT NULL THEN 'dense-wins' WHEN fused_rank IS NOT NULL THEN 'fused-only (no graph)' ELSE 'neither' END AS verdict FROM x
+    """
+
+
+def reranked(searches: str) -> str:
+    return f"""
+        WITH {fused(50, searches)}, pr AS (
+          SELECT f.query_id, f.passage_id, list_distinct({tokens("s.text")}) AS q, {tokens("CASE WHEN coalesce(c.title, '') = '' THEN coalesce(c.text, '') ELSE c.title || ': ' || coalesce(c.text, '') END")} AS p
+          FROM fused f JOIN searches s USING (query_id) JOIN corpus c USING (passage_id)
+        ), sc AS (SELECT query_id, passage_id, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, p)) / len(q) END, 9) AS score FROM pr)
+        SELECT query_id, passage_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id)::INT AS rank FROM sc) WHERE rank <= 10
+    """
+
+
 ORACLES = {
     "p2_found": """
         WITH m AS (SELECT 'subject' AS role, subject AS name FROM triples UNION ALL SELECT 'object', object FROM triples)
@@ -223,7 +255,7 @@ ORACLES = {
     "near_duplicate_pairs": f"""
         WITH {CORPUS}, src AS (SELECT passage_id AS id, text FROM corpus), {shingled("src")},
         form AS (SELECT id, sha256(string_agg(run, chr(31) ORDER BY run)) AS f FROM sh GROUP BY id), rep AS (SELECT min(id) AS id FROM form GROUP BY f)
-        SELECT a, b, round(jaccard, 6) AS jaccard FROM near WHERE jaccard < 1 AND a IN (SELECT id FROM rep) AND b IN (SELECT id FROM rep)
+        SELECT a, b, round(jaccard, 6) AS jaccard FROM near WHERE a IN (SELECT id FROM rep) AND (b IN (SELECT id FROM rep) OR jaccard = 1)
     """,
     "dedupe_corpus": f"""
         WITH RECURSIVE {CORPUS}, x AS (SELECT passage_id AS id, text, {_FORM} AS h FROM corpus WHERE text IS NOT NULL),
@@ -303,12 +335,16 @@ ORACLES = {
         SELECT query_id, passage_id, score, rank FROM graph_hits
     """,
     "fused_search": f"WITH {fused(10)} SELECT query_id, passage_id, round(score, 9) AS score, rank, round(prov_bm25, 9) AS prov_bm25, round(prov_dense, 9) AS prov_dense, round(prov_graph, 9) AS prov_graph FROM fused",
-    "reranked_search": f"""
-        WITH {fused(50)}, pr AS (
-          SELECT f.query_id, f.passage_id, list_distinct({tokens("s.text")}) AS q, {tokens("CASE WHEN coalesce(c.title, '') = '' THEN coalesce(c.text, '') ELSE c.title || ': ' || coalesce(c.text, '') END")} AS p
-          FROM fused f JOIN searches s USING (query_id) JOIN corpus c USING (passage_id)
-        ), sc AS (SELECT query_id, passage_id, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, p)) / len(q) END, 9) AS score FROM pr)
-        SELECT query_id, passage_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id)::INT AS rank FROM sc) WHERE rank <= 10
+    "reranked_search": reranked(SEARCHES),
+    "reranked_search_one": reranked(SEARCHES.replace("searches AS (", "searches AS (SELECT * FROM (", 1)[:-1] + ") ORDER BY query_id, text LIMIT 1)"),
+    "graph_search_linked": f"WITH {LINKED}, {EDGES}, {NODES}, {ADJACENCY}, {links('searches')}, {graph(10)} SELECT query_id, passage_id, score, rank FROM graph_hits",
+    "fused_search_linked": f"WITH {fused(10, LINKED)} {FUSED_ROWS}",
+    "metrics_linked": f"WITH {scores(LINKED)} {METRICS}",
+    "contract_checks_broken": f"""
+        WITH {fused(10)}, x AS (SELECT query_id, rank, CASE WHEN rank = 5 THEN 9.0 ELSE score END AS score FROM fused WHERE rank <> 2),
+        y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS expected, lag(score) OVER (PARTITION BY query_id ORDER BY rank) AS before FROM x)
+        SELECT DISTINCT query_id, 'ranks aren''t 1..n' AS problem FROM y WHERE rank <> expected
+        UNION SELECT query_id, 'more than k hits' FROM y WHERE rank > 9 UNION SELECT query_id, 'scores rise' FROM y WHERE score > before
     """,
     "contract_checks": "SELECT ''::VARCHAR AS query_id, ''::VARCHAR AS problem WHERE false",
     "query_metrics": f"WITH {SCORES} SELECT query_id, category, metric, round(value, 6) AS value, 'bm25' AS config FROM sb UNION ALL SELECT query_id, category, metric, round(value, 6), 'dense' FROM sd",
@@ -318,9 +354,9 @@ ORACLES = {
         SELECT category, metric, round(coalesce(mean, 'nan'::DOUBLE), 6) AS mean, coalesce(n, 0) AS n FROM want FULL JOIN m USING (category, metric)
     """,
     "bootstrap_hashed": f"""
-        WITH {SCORES}, d AS (SELECT metric, query_id, sb.value - sd.value AS d, row_number() OVER (PARTITION BY metric ORDER BY query_id) - 1 AS i FROM sb JOIN sd USING (query_id, category, metric)),
+        WITH {scores(LINKED)}, d AS (SELECT metric, query_id, sb.value - sd.value AS d, row_number() OVER (PARTITION BY metric ORDER BY query_id) - 1 AS i FROM sb JOIN sd USING (query_id, category, metric)),
         n AS (SELECT metric, count(*) AS n, avg(d) AS diff FROM d GROUP BY metric),
-        draws AS (SELECT metric, n, r, p, ('0x' || substr(md5('0:' || r || ':' || p), 1, 8))::BIGINT % n AS i FROM (SELECT metric, n, r, unnest(generate_series(0, n - 1)) AS p FROM (SELECT metric, n, unnest(generate_series(0, 199)) AS r FROM n))),
+        draws AS (SELECT metric, n, r, p, ('0x' || substr(md5('0:' || r || ':' || p), 1, 8))::BIGINT % n AS i FROM (SELECT metric, n, r, unnest(generate_series(0, n - 1)) AS p FROM (SELECT metric, n, unnest(generate_series(0, 999)) AS r FROM n))),
         m AS (SELECT metric, r, sum(round(d, 12)::DECIMAL(28, 12))::DOUBLE / count(*) AS m FROM draws JOIN d USING (metric, i) GROUP BY ALL),
         ci AS (SELECT metric, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY metric)
         SELECT 'pooled' AS category, metric, round(diff, 6) AS diff, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, (lo > 0 OR hi < 0) AS excludes_zero, n FROM n JOIN ci USING (metric)
@@ -330,11 +366,11 @@ ORACLES = {
         m AS (SELECT category, config, avg(value) AS mean FROM x WHERE metric = 'ndcg@10' GROUP BY ALL UNION ALL SELECT 'pooled', config, avg(value) FROM x WHERE metric = 'ndcg@10' GROUP BY config)
         SELECT category, config FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY mean DESC, config) AS r FROM m) WHERE r = 1
     """,
-    "graph_wins": f"""
-        WITH {fused(10)}, {LABELED}, j AS (SELECT query_id, unnest(map_keys(relevant)) AS passage_id FROM labeled WHERE category = 'multi-hop-relational'),
-        x AS (SELECT j.*, d.rank AS dense_rank, f.rank AS fused_rank, coalesce(f.prov_graph, 0) AS g FROM j LEFT JOIN dense_hits d ON d.query_id = j.query_id AND d.passage_id = j.passage_id AND d.rank <= 10 LEFT JOIN fused f ON f.query_id = j.query_id AND f.passage_id = j.passage_id)
-        SELECT query_id, passage_id, dense_rank, fused_rank, (fused_rank IS NOT NULL AND g > 0 AND dense_rank IS NULL) AS graph_win,
-          CASE WHEN fused_rank IS NOT NULL AND g > 0 AND dense_rank IS NULL THEN 'graph-win' WHEN dense_rank IS NOT NULL THEN 'dense-wins' WHEN fused_rank IS NOT NULL THEN 'fused-only (no graph)' ELSE 'neither' END AS verdict FROM x
+    "graph_wins": wins(SEARCHES),
+    "graph_wins_linked": wins(LINKED),
+    "win_rate": f"""
+        SELECT count(*) AS n_queries, count(*) FILTER (w) AS n_wins, CASE WHEN count(*) > 0 THEN count(*) FILTER (w) / count(*) ELSE 'nan'::DOUBLE END AS rate
+        FROM (SELECT query_id, bool_or(graph_win) AS w FROM ({wins(LINKED)}) GROUP BY query_id)
     """,
     "pattern_precision": """
         WITH t AS (SELECT pattern, count(*) FILTER (subject_type IS NOT NULL AND object_type IS NOT NULL) AS k, count(*) AS n FROM triples GROUP BY pattern),

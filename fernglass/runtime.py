@@ -24,14 +24,6 @@ BROADCAST_ROWS = 500_000  # rows of a few columns each that may be broadcast
 
 _LOCAL_ROOT: str | None = None
 _SHIPPED: set[str] = set()
-_WRITTEN: list[str] = []
-
-
-@atexit.register
-def _clean() -> None:
-    """At the end of the driver, the tables it wrote to a mounted folder go; results that are still read need them until then."""
-    for path in _WRITTEN:
-        shutil.rmtree(path, ignore_errors=True)
 
 
 def session(app: str = "fernglass", cpus: int | None = None) -> SparkSession:
@@ -64,19 +56,25 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + _LOCAL_ROOT
 
 
+def _filesystem(spark: SparkSession, path: str):
+    """(path, its file system) as Hadoop has them."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def scratch(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder."""
-    path = f"{shared_root(spark)}/{kind}-{uuid.uuid4().hex}"
-    if path.startswith(("file:", "/")):
-        _WRITTEN.append(path.removeprefix("file://").removeprefix("file:"))
-    return path
+    """A new folder in the shared one; it goes when the driver's JVM ends, since results may be read until then."""
+    hadoop, fs = _filesystem(spark, f"{shared_root(spark)}/{kind}-{uuid.uuid4().hex}")
+    fs.mkdirs(hadoop)
+    fs.deleteOnExit(hadoop)
+    return fs.makeQualified(hadoop).toString()
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = scratch(spark, "table")
-    df.write.parquet(path)
+    df.write.mode("overwrite").parquet(path)
     # the schema is given, so no file is opened to infer it and an empty table keeps its columns
     out = spark.read.schema(df.schema).parquet(path)
     out._fernglass_path = path
@@ -88,9 +86,8 @@ def release(*frames: DataFrame | None) -> None:
     for df in frames:
         path = getattr(df, "_fernglass_path", None)
         if path:
-            spark = df.sparkSession
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            hadoop, fs = _filesystem(df.sparkSession, path)
+            fs.delete(hadoop, True)
             df._fernglass_path = None
 
 
