@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from fernglass.runtime import materialize, release
 
 MAX_ROUNDS = 64
-TAIL = 20_000
+TAIL = 100_000
 
 
 def symmetric(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -28,7 +28,7 @@ def smallest(pairs):
     return {x: find(x) for x in parent}
 
 
-@pytest.mark.parametrize(("seed", "tail"), [(1, 0), (2, 20), (2, 20_000)])
+@pytest.mark.parametrize(("seed", "tail"), [(1, 0), (2, 20), (2, 100_000)])
 def test_components_of_random_graphs(spark, rows, seed, tail):
     rng = random.Random(seed)
     ids = [f"{rng.randrange(16**6):06x}" for _ in range(150)]
