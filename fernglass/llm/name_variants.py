@@ -112,10 +112,14 @@ def names_match(a: list[str], b: list[str]) -> bool:
         return False
     if k == 1:
         return a == b or min(len(a[0]), len(b[0])) >= ALONE and token_match(a[0], b[0]) == 2
+    if k == 2 and (shared := next((t for t in a if t in b), None)) is not None:
+        # by far the most frequent case: one token in common, one against one
+        x, y = a[a[0] == shared], b[b[0] == shared]
+        got = token_match(x, y)
+        return bool(got) and (len(shared) >= 5 or got == 3 or (min(len(x), len(y)) >= 5 if got == 2 else len(shared) >= 3))
     common = Counter(a) & Counter(b)
     rest_a, rest_b = sorted((Counter(a) - common).elements()), sorted((Counter(b) - common).elements())
     firm = any(len(t) >= 5 for t in common)
-    terse = k == 2 and any(len(t) >= 3 for t in common)
     level = [[token_match(x, y) for y in rest_b] for x in rest_a]
     if any(not any(row) for row in level):
         return False
@@ -123,7 +127,6 @@ def names_match(a: list[str], b: list[str]) -> bool:
     for order in permutations(range(m)) if m <= TOKENS else [range(m)]:
         got = [level[i][j] for i, j in enumerate(order)]
         sure = firm or any(g == 2 and min(len(rest_a[i]), len(rest_b[j])) >= 5 for (i, j), g in zip(enumerate(order), got, strict=True))
-        sure = sure or terse and 2 not in got
         if 0 not in got and sure and got.count(2) <= 1 + (k > 2):
             return True
     return False
@@ -131,10 +134,12 @@ def names_match(a: list[str], b: list[str]) -> bool:
 
 def spellings(triples: DataFrame, raw_triples: DataFrame) -> DataFrame:
     """(name, type, n): every distinct string of the four columns, with its type if any row has one, and its rows."""
-    typed = F.explode(F.array(F.struct(F.col("subject").alias("name"), F.col("subject_type").alias("type")), F.struct(F.col("object").alias("name"), F.col("object_type").alias("type"))))
-    raw = F.explode(F.array(F.struct(F.col("subject_text").alias("name"), F.lit(None).cast("string").alias("type")), F.struct(F.col("object_text").alias("name"), F.lit(None).cast("string").alias("type"))))
-    rows = triples.select(typed.alias("m")).unionByName(raw_triples.select(raw.alias("m"))).select("m.name", "m.type")
-    return rows.where("name is not null and name <> ''").groupBy("name").agg(F.max("type").alias("type"), F.count(F.lit(1)).alias("n"))
+    both = lambda df, *columns: df.select(F.explode(F.array(*columns)).alias("name")).where("name is not null and name <> ''")
+    n = both(triples, "subject", "object").unionByName(both(raw_triples, "subject_text", "object_text")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    # few rows have a type, and the greatest string of a group is found by sorting, so these rows go by themselves
+    of = lambda name, kind: triples.where(F.col(kind).isNotNull()).select(F.col(name).alias("name"), F.col(kind).alias("type"))
+    typed = of("subject", "subject_type").unionByName(of("object", "object_type")).distinct().groupBy("name").agg(F.max("type").alias("type"))
+    return n.join(typed, "name", "left").select("name", "type", "n")
 
 
 def alias_map(name_aliases: DataFrame) -> dict[str, str]:
