@@ -1,14 +1,17 @@
 """Aggregation that stays even when a few keys hold most rows.
 
-Keys whose share of the rows exceeds ``heavy_share`` are found first, by a count
-that combines on the map side. Their number is at most ``1 / heavy_share``, so
-the list may be broadcast whatever the table's size. Rows of a heavy key get a
-salt and are first aggregated per (key, salt); the partial results are then
-merged per key. All other rows have the one salt 0.
-
-The salt is a hash of the row rather than ``rand()``: a task that runs again
-after an executor is lost must give its rows the same salts, or rows would be
-counted twice or not at all.
+Keys that hold a good share of the rows are found first, in a bounded random
+sample: which keys are taken for heavy decides how the work is divided, and never
+what comes out. Their number is at most ``2 / heavy_share``, so the list may be
+broadcast whatever the table's size. Rows of a heavy key get a salt and are first
+aggregated per (key, salt); the partial results are then merged per key. All other
+rows have the one salt 0.
+
+The salt is a hash of the row's place in its partition, so that repeated rows are
+spread, too. A task that runs again after an executor is lost must give its rows
+the same salts, or rows would be counted twice or not at all; reading the same split
+of a table again gives the same places. Give frames that were shuffled to
+:func:`~fernglass.runtime.materialize` first.
 """
 
 from __future__ import annotations
@@ -18,21 +21,23 @@ from pyspark.sql import functions as F
 
 HEAVY_SHARE = 0.002
 SALTS = 64
+SAMPLE = 200_000  # rows among which heavy keys are sought
 
 
-def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> DataFrame:
-    """The keys that hold more than ``share`` of the rows; at most ``1 / share`` rows."""
-    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return per.join(F.broadcast(total), F.col("_n") > F.col("_total") * F.lit(share)).select(*keys)
+def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE, sample: int = SAMPLE, seed: int = 0) -> DataFrame:
+    """The keys that hold more than about half of ``share`` of a sample of about ``sample`` rows; at most ``2 / share`` rows."""
+    total = df.count()
+    taken = df.select(*keys) if total <= sample else df.select(*keys).sample(sample / total, seed)
+    per = taken.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return per.where(F.col("_n") > F.lit(min(total, sample) * share / 2)).select(*keys)
 
 
 def salted(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE, salts: int = SALTS) -> DataFrame:
-    """``df`` with ``_salt``: 0 for ordinary keys, a hash of the row modulo ``salts`` for heavy ones."""
+    """``df`` with ``_salt``: 0 for ordinary keys, a hash of the row's place modulo ``salts`` for heavy ones."""
     heavy = heavy_keys(df, keys, share).withColumn("_heavy", F.lit(True))
-    row = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).cast("int")
-    joined = df.join(F.broadcast(heavy), keys, "left")
-    return joined.withColumn("_salt", F.when(F.col("_heavy"), row).otherwise(F.lit(0))).drop("_heavy")
+    joined = df.withColumn("_place", F.monotonically_increasing_id()).join(F.broadcast(heavy), keys, "left")
+    salt = F.pmod(F.xxhash64("_place"), F.lit(salts)).cast("int")
+    return joined.withColumn("_salt", F.when(F.col("_heavy"), salt).otherwise(F.lit(0))).drop("_heavy", "_place")
 
 
 def salted_aggregate(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fernglass.operators import hot_keys
-from fernglass.operators.salted import heavy_keys, salted_aggregate
+from fernglass.operators.salted import heavy_keys, salted, salted_aggregate
 from fernglass.plans.components import min_propagation
 
 TRIPLE = "subject string, relation string, object string, batch int, extracted_at timestamp, role string, name string, _salt int"
@@ -49,7 +49,10 @@ def test_salted_aggregate_equals_plain(spark, rows):
     df = spark.createDataFrame(data, "k string, v int")
     got = rows(salted_aggregate(df, ["k"], {"n": F.count(F.lit(1)), "s": F.sum("v")}, {"n": F.sum("n"), "s": F.sum("s")}))
     assert got == rows(df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")))
-    assert "hot" in {r.k for r in heavy_keys(df, ["k"], 0.1).collect()}
+    assert "hot" in {r.k for r in heavy_keys(df, ["k"], 0.1).collect()} and {r.k for r in heavy_keys(df, ["k"], 0.5, sample=500).collect()} == {"hot"}
+    # repeated rows are spread over the salts
+    same = spark.range(2000).selectExpr("'hot' AS k", "1 AS v")
+    assert salted(same, ["k"], salts=8).select("_salt").distinct().count() == 8
 
 
 def test_names_holding(spark, rows):
