@@ -12,8 +12,6 @@ numbered within their length and looked up in the pattern that owns the number.
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -23,6 +21,7 @@ from fernglass.llm.tokenizer import TOKENIZERS, VOCABULARY, count_tokens
 from fernglass.runtime import materialize
 
 CAPACITY = 2048
+ROWS_A_PART = 250_000  # pieces numbered by one task, about
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -92,7 +91,7 @@ def numbered(df: DataFrame, size: str, order: list[str], parts: int) -> DataFram
     return local.join(first, [size, "part"]).withColumn("number", F.col("first") + F.col("local")).drop("local", "first", "part")
 
 
-def pack(counts: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", parts: int = 64) -> DataFrame:
+def pack(counts: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", rows_a_part: int = ROWS_A_PART) -> DataFrame:
     """(key, piece, size, container): every piece with the number of its container; containers are numbered from 0.
 
     Sizes in a container never sum to more than ``capacity``. An item of size 0
@@ -101,25 +100,29 @@ def pack(counts: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", parts
     """
     p = materialize(pieces(counts, capacity, key))
     histogram = {r["size"]: r.n for r in p.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
-    starts: dict[int, list[int]] = {}  # by length: the first number a pattern takes,
-    runs: dict[int, list[tuple[int, int, int]]] = {}  # and (that number, copies a container, first container)
+    runs: dict[int, list[tuple[int, int, int]]] = {}  # by length: (the first number a pattern takes, copies a container, first container)
     used: dict[int, int] = {}
     container = 0
     for pattern, times in plan(histogram, capacity):
         for n, k in pattern.items():
-            starts.setdefault(n, []).append(used.get(n, 0))
             runs.setdefault(n, []).append((used.get(n, 0), k, container))
             used[n] = used.get(n, 0) + k * times
         container += times
 
+    table = {n: np.array(r, np.int64).T for n, r in runs.items()}
+
     @F.pandas_udf("long")
     def place(size: pd.Series, number: pd.Series) -> pd.Series:
-        out = np.empty(len(size), np.int64)
-        for i, (n, x) in enumerate(zip(size.tolist(), number.tolist(), strict=True)):
-            first, k, base = runs[n][bisect_right(starts[n], x) - 1]
-            out[i] = base + (x - first) // k
+        s, x = size.to_numpy(), number.to_numpy()
+        out = np.empty(len(s), np.int64)
+        for n in np.unique(s):
+            at = np.nonzero(s == n)[0]
+            first, k, base = table[int(n)]
+            i = np.searchsorted(first, x[at], side="right") - 1
+            out[at] = base[i] + (x[at] - first[i]) // k[i]
         return pd.Series(out)
 
+    parts = max(64, -(-sum(histogram.values()) // rows_a_part))
     packed = numbered(p, "size", [key, "piece"], parts).select(key, "piece", "size", place("size", "number").alias("container"))
     empty = counts.where("n_tokens = 0").select(key, F.lit(0).alias("piece"), F.lit(0).alias("size"), F.lit(None).cast("long").alias("container"))
     return packed.unionByName(empty)

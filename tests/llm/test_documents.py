@@ -79,7 +79,7 @@ def test_pack(spark):
     rng = random.Random(3)
     sizes = [0, 0, 100, 101, 250, 1] + [rng.randrange(1, 100) for _ in range(400)] + [40] * 600
     counts = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_tokens int")
-    out = B.pack(counts, 100, parts=5).collect()
+    out = B.pack(counts, 100, rows_a_part=1).collect()
     room, by = {}, {}
     for r in out:
         by.setdefault(r.doc_id, []).append(r.size)
