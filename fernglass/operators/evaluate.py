@@ -107,7 +107,9 @@ def hashed_bootstrap(pairs: DataFrame, resamples: int = RESAMPLES, seed: int = B
     w = Window.partitionBy(*keys).orderBy("query_id")
     x = pairs.withColumn("i", F.row_number().over(w) - 1).withColumn("d", F.col("a") - F.col("b"))
     n = x.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"), F.avg("d").alias("diff"))
-    draw = n.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")).select(*keys, "n", "r", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("p"))
+    draw = n.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
+    # a few rows become very many: spread over all cores before they do
+    draw = draw.repartition(pairs.sparkSession.sparkContext.defaultParallelism, *keys, "r").select(*keys, "n", "r", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("p"))
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("p").cast("string"))), 1, 8), 16, 10).cast("long")
     draw = draw.withColumn("i", (h % F.col("n")).cast("int"))
     means = draw.join(x.select(*keys, "i", "d"), [*keys, "i"]).groupBy(*keys, "r").agg((F.sum(F.round("d", 12).cast("decimal(28,12)")) / F.count(F.lit(1))).cast("double").alias("m"))

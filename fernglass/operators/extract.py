@@ -114,6 +114,14 @@ def attach_types(raw: DataFrame, entities: DataFrame) -> DataFrame:
     return out
 
 
+def triples_of_parse(tokens: DataFrame, entities: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(subject, relation, object, passage_id, sentence_index, subject_type, object_type, pattern) of parsed sentences: relations, their types, then their normal form; each once."""
+    raw = relations(tokens).distinct()
+    raw = materialize(raw.withColumn("raw_id", F.sha2(F.to_json(F.struct(*raw.columns)), 256)))
+    x = normalize_relations(attach_types(raw, entities), corpus)
+    return x.select("subject", "relation", "object", "passage_id", "sentence_index", "subject_type", "object_type", "pattern").distinct()
+
+
 def relation_histogram(triples: DataFrame) -> DataFrame:
     """(relation, n)."""
     return triples.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))

@@ -68,8 +68,14 @@ def hashed_vector(text: str | None, cache: dict[str, tuple[int, int]], dims: int
     return v / norm if norm else v
 
 
-def encode(df: DataFrame, key: str, text: str = "text", dims: int = DIMENSIONS) -> DataFrame:
-    """(key, embedding): a vector for each row, computed a batch at a time in the Python workers."""
+def encode(df: DataFrame, key: str, text: str = "text", dims: int = DIMENSIONS, instruction: str = "") -> DataFrame:
+    """(key, embedding): a vector for each row, computed a batch at a time in the Python workers.
+
+    ``instruction`` is put before each text; encoders that were trained so want one
+    before queries, and none before passages.
+    """
+    if instruction:
+        df = df.withColumn(text, F.concat(F.lit(instruction), F.coalesce(F.col(text), F.lit(""))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, int]] = {}
@@ -150,6 +156,7 @@ class SearchStore:
     """
 
     BUCKETS = 64
+    LISTED = 2_000
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -178,9 +185,16 @@ class SearchStore:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def of(self, name: str, column: str, wanted: DataFrame) -> DataFrame:
-        """The rows of a bucketed table whose ``column`` is among ``wanted``; only buckets that may hold some are read."""
-        buckets = [r[0] for r in wanted.select(self._bucket(F.col(column))).distinct().collect()]  # at most ``BUCKETS`` numbers
-        return self.table(name).where(F.col("bucket").isin(buckets)).join(if_small(wanted), column, "left_semi").drop("bucket")
+        """The rows of a bucketed table whose ``column`` is among ``wanted``; only buckets that may hold some are read.
+
+        Up to ``LISTED`` values are pushed down to the scan as a list, more are joined.
+        """
+        asked = wanted.select(column, self._bucket(F.col(column)).alias("b")).distinct()
+        rows = asked.limit(self.LISTED + 1).collect()
+        table = self.table(name)
+        if len(rows) <= self.LISTED:
+            return table.where(F.col("bucket").isin(sorted({r.b for r in rows})) & F.col(column).isin([r[0] for r in rows])).drop("bucket")
+        return table.join(if_small(wanted.select(column).distinct()), column, "left_semi").drop("bucket")
 
     def health(self) -> DataFrame:
         return reduce(DataFrame.unionByName, [table_health(self.spark, n, f"{self.folder}/{n}") for n in ("postings", "vectors", "links", "names")])

@@ -211,3 +211,25 @@ def review_problems(queries: DataFrame, reviews: DataFrame, corpus: DataFrame, o
 def category_counts(labeled: DataFrame) -> DataFrame:
     """(category, n)."""
     return labeled.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def replace_category(existing: DataFrame, fresh: DataFrame, category: str) -> DataFrame:
+    """The query set with all queries of ``category`` replaced by ``fresh``; those of other and of null categories stay."""
+    columns = existing.columns
+    return existing.where(~F.col("category").eqNullSafe(F.lit(category))).unionByName(fresh.select(*columns))
+
+
+def paraphrase_queries(reviews: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Labeled queries of accepted drafts (a review with a final text); one that shares a content word with its passage is refused.
+
+    A shared word is let through where the review has an override that names exactly
+    the shared words.
+    """
+    x = reviews.where("final_text is not null").select(
+        "query_id", F.col("final_text").alias("text"), F.lit("paraphrase").alias("category"), F.create_map("source_passage_id", F.lit(RELEVANT_GAIN)).alias("relevant"), F.lit("agent-drafted").alias("origin"), F.lit(None).cast("string").alias("source_question_id"), F.col("overlap_override.shared_terms").alias("_allowed")
+    )
+    shared = overlap(x, corpus).join(x.select("query_id", "_allowed"), "query_id")
+    refused = shared.where(~F.coalesce(F.array_sort("_allowed") == F.array_sort("shared"), F.lit(False))).orderBy("query_id").select("query_id", "shared").limit(5).collect()
+    if refused:
+        raise ValueError("drafts share words with their passages: " + "; ".join(f"{r.query_id}: {', '.join(r.shared)}" for r in refused))
+    return x.drop("_allowed")

@@ -188,6 +188,14 @@ def bm25_field_stats(spark, d):
     return _rounded(index.field_stats(index.analyzed(_corpus(spark, d))), 9)
 
 
+def index_build(spark, d):
+    """(name, state, count): what the search indexes hold after being built anew."""
+    store = index.SearchStore(spark, scratch(spark, "indexes"))
+    store.build(materialize(_corpus(spark, d)), read(spark, d, "triples"))
+    _STORES[spark.sparkContext.applicationId, d] = store
+    return store.health().select("name", "state", "count")
+
+
 def bm25_search(spark, d):
     return _rounded(retrieve.search_store("bm25", _searches(spark, d), _store(spark, d), 10))
 
@@ -443,7 +451,7 @@ def pair_balance(spark, d):
 
 ALL = (
     p2_found, p2_summary, corpus_latest, sentence_slices, content_address, exact_duplicates, near_duplicate_pairs, dedupe_corpus, remapped_questions, dangling_ids, corpus_hash, corpus_digest,
-    incremental_add, jsonl_round_trip, streamed_add, streamed_windows, surface_forms, query_overlap, term_candidates, bm25_term_stats, bm25_field_stats, bm25_search, bm25_text_search, dense_search,
+    incremental_add, jsonl_round_trip, streamed_add, streamed_windows, surface_forms, query_overlap, term_candidates, bm25_term_stats, bm25_field_stats, index_build, bm25_search, bm25_text_search, dense_search,
     dense_text_search, vector_checks, graph_edges, graph_nodes, node_degrees, passage_triples, entity_links, link_failure, graph_search, graph_search_linked, graph_search_names, fused_search, fused_search_linked, reranked_search, reranked_search_one,
     tuned_search, contract_checks, contract_checks_broken, query_metrics, metrics_linked, comparison_table, mean_metrics, bootstrap_hashed, bootstrap_numpy, baseline_choice, graph_wins, graph_wins_linked, win_rate, pattern_precision, latency_percentiles, linear_percentiles,
     relation_histogram, extraction_quality, exact_term_queries, multi_hop_queries, paraphrase_sample, queryset_problems, category_counts, training_pairs_built, training_pool, training_sample,

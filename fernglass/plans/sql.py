@@ -302,6 +302,13 @@ ORACLES = {
     """,
     "bm25_term_stats": f"WITH {CORPUS}, {ANALYZED} SELECT field, term, count(*) AS df FROM (SELECT field, unnest(list_distinct(terms)) AS term FROM an) GROUP BY ALL",
     "bm25_field_stats": f"WITH {CORPUS}, {ANALYZED} SELECT field, count(*) AS n_docs, round(avg(dl), 9) AS avgdl FROM an GROUP BY field",
+    "index_build": f"""
+        WITH {CORPUS}, {ANALYZED}, {EDGES}, {NODES}, {ADJACENCY}, ok AS (SELECT node FROM adj GROUP BY node HAVING count(*) <= 200)
+        SELECT 'postings' AS name, 'populated' AS state, count(*) AS count FROM (SELECT DISTINCT field, passage_id, unnest(terms) AS term FROM an)
+        UNION ALL SELECT 'vectors', 'populated', count(*) FROM corpus
+        UNION ALL SELECT 'links', 'populated', count(*) FROM adj WHERE node IN (SELECT node FROM ok) AND nbr IN (SELECT node FROM ok)
+        UNION ALL SELECT 'names', 'populated', count(*) FROM names WHERE length(lower(name)) >= 2 AND regexp_matches(name, '[\\p{{L}}\\p{{N}}_]')
+    """,
     "bm25_search": f"WITH {CORPUS}, {SEARCHES}, {ANALYZED}, {bm25(10)} SELECT query_id, passage_id, round(score, 6) AS score, rank FROM bm25_hits",
     "bm25_text_search": f"WITH {CORPUS}, {SEARCHES}, {ANALYZED}, {bm25(10, chr(39) + 'text' + chr(39))} SELECT query_id, passage_id, round(score, 6) AS score, rank FROM bm25_hits",
     "dense_search": """
