@@ -52,6 +52,38 @@ def test_bm25_against_formula(spark):
     assert R.bm25(q, c.limit(0)).collect() == []
 
 
+def test_bm25_of_many_queries_joins_no_postings(spark, rows, tmp_path, monkeypatch):
+    r = random.Random(7)
+    words = ["the", "of", "film", "é", *(f"w{i}" for i in range(40))]
+    some = lambda n: " ".join(r.choice(words[: r.choice((3, 44))]) for _ in range(r.randrange(n)))
+    texts = [(some(4), some(30)) for _ in range(150)]
+    c = spark.createDataFrame([(f"p{i:03d}", *texts[i // 2]) for i in range(300)] + [("none", None, None)], "passage_id string, title string, text string")
+    q = spark.createDataFrame([(f"q{i}", some(8)) for i in range(60)] + [("all", "the of the"), ("gone", "zzz"), ("blank", " "), ("long", " ".join(["the"] * 300))], "query_id string, text string")
+    store = I.SearchStore(spark, str(tmp_path))
+    store.build(c, spark.createDataFrame([("a", "b", "r", "p000", 0)], "subject string, object string, relation string, passage_id string, sentence_index int"))
+    distinct = {(f, t, i) for i, x in enumerate(texts) for f in (0, 1) for t in x[f].split()}
+    assert store.health().first()["count"] == 2 * len(distinct)
+    assert store.table("postings").count() < 2 * len(distinct)
+    want = {k: rows(R.search_store("bm25", q, store, k)) for k in (3, 100)}
+    assert len(want[3]) > 150 and want[100] == rows(R.bm25(q, c))
+    monkeypatch.setattr(R, "JOINED", 0)
+    for block in (7, 2048):
+        monkeypatch.setattr(R, "PASSAGE_BLOCK", block)
+        monkeypatch.setattr(R, "QUERY_BLOCK", 11 * block)
+        monkeypatch.setattr(R, "QUERIES_A_SCAN", 40)
+        got = R.search_store("bm25", q, store, 3)
+        assert rows(got) == want[3]
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(R.bm25(q, c)) == want[100]
+    assert R.search_store("bm25", q.limit(0), store, 3).collect() == []
+
+
+def test_weights_are_rounded_as_by_spark(spark):
+    w = [0.0, 4e-10, 5e-10, 0.1234567885, 1.0000000005, 2.5000000015, 17.123456789499999, 0.0000000025]
+    want = [int(r[0].scaleb(9)) for r in spark.createDataFrame([(x,) for x in w], "w double").select(F.round("w", 9).cast("decimal(28,9)")).collect()]
+    assert np.floor(R._whole(np.array(w))).astype(int).tolist() == want
+
+
 def test_dense_is_exact(spark):
     rng = np.random.default_rng(0)
     m = rng.normal(size=(300, 8))
