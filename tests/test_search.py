@@ -1,7 +1,9 @@
 """Indexes, retrieval and evaluation."""
 
+import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -199,6 +201,20 @@ def frame(spark, values):
     return spark.createDataFrame([(f"q{i}", "pooled", "mrr", v) for i, v in enumerate(values)], "query_id string, category string, metric string, value double")
 
 
+def test_hashed_bootstrap_never_sends_its_draws_around(spark):
+    r = random.Random(3)
+    d = {"mrr": [r.random() for _ in range(9)], "recall@5": [r.random() for _ in range(9)], "ndcg@10": [r.random() for _ in range(4)]}
+    pairs = spark.createDataFrame([(f"q{i}", "pooled", m, v, 0.25) for m, x in d.items() for i, v in enumerate(x)], "query_id string, category string, metric string, a double, b double")
+    got = E.hashed_bootstrap(pairs, 40)
+    assert re.search(r"BroadcastHashJoin \[n#\d+, i#\d+\].*BuildRight", got._jdf.queryExecution().executedPlan().toString())
+    place = lambda i, p, n: int(hashlib.md5(f"{E.BOOTSTRAP_SEED}:{i}:{p}".encode()).hexdigest()[:8], 16) % n
+    for row in got.collect():
+        x = np.array(d[row.metric]) - 0.25
+        means = [np.mean([x[place(i, p, len(x))] for p in range(len(x))]) for i in range(40)]
+        assert (row.ci_low, row.ci_high) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5]))) and row["diff"] == pytest.approx(x.mean()) and row.n == len(x)
+    assert got.count() == 3
+
+
 def test_bootstrap(spark):
     a, b = [0.1 * i for i in range(8)], [0.1 * i - 0.2 for i in range(8)]
     r = E.paired_bootstrap(E.paired(frame(spark, a), frame(spark, b))).first()
