@@ -48,7 +48,19 @@ _EDGE = re.compile(r"^[^\w&]+|[^\w&]+$")
 
 def name_tokens(name: str, aliases: dict[str, str]) -> list[str]:
     """The tokens by which a name is compared, sorted; see the module's text."""
-    text = fold(name)
+    return sorted(_in_order(fold(name), aliases))
+
+
+def middle_name(name: str, aliases: dict[str, str]) -> str | None:
+    """The token between the first and the last of a name of three, where a comma puts the last one first; after more words, a comma leaves the order open."""
+    last, comma, first = _QUOTED.sub(" ", fold(name)).partition(",")
+    if comma and len(last.split()) > 1:
+        return None
+    tokens = _in_order(f"{first} {last}", aliases)
+    return tokens[1] if len(tokens) == 3 else None
+
+
+def _in_order(text: str, aliases: dict[str, str]) -> list[str]:
     rest = _QUOTED.sub(" ", text)
     raw = [t for t in (_EDGE.sub("", p).replace("'", "").replace("’", "") for p in _PARTS.split(rest if len(rest.split()) > 1 else text)) if t]
     mixed = any(c.islower() for c in text)
@@ -60,7 +72,7 @@ def name_tokens(name: str, aliases: dict[str, str]) -> list[str]:
     long = [t for t in kept if len(t) > 1]
     if len(long) >= 2 and len(long) < len(kept):
         kept = long
-    return sorted(aliases.get(c, c) for c in (t.casefold() for t in kept))
+    return [aliases.get(c, c) for c in (t.casefold() for t in kept)]
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -101,7 +113,8 @@ def names_match(a: list[str], b: list[str]) -> bool:
     must be equal or alike (in a name of two tokens, one of 3 if the other is equal
     or an abbreviation), and at most one (of more than two tokens, two) may be
     merely alike. Names of one token, of at least ``ALONE`` letters, must be alike.
-    A name of two tokens also matches one that has both and one more (a middle name).
+    A name of two tokens also matches one that has both and one more; that this is a
+    middle name, :func:`links` sees to.
     """
     k = len(a)
     if k > len(b):
@@ -154,16 +167,17 @@ def alias_map(name_aliases: DataFrame) -> dict[str, str]:
 
 
 def parsed(names: DataFrame, aliases: dict[str, str]) -> DataFrame:
-    """(name, type, n, look, node): the name's folded form, and its sorted tokens in one string."""
+    """(name, type, n, look, node, middle): the name's folded form, its sorted tokens in one string, and of three tokens the middle one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = b.column(0).to_pylist()
             look = pa.array([fold(x) for x in names], pa.string())
             node = pa.array([" ".join(name_tokens(x, aliases)) for x in names], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), look, node], names=["name", "type", "n", "look", "node"])
+            middle = pa.array([middle_name(x, aliases) for x in names], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), look, node, middle], names=["name", "type", "n", "look", "node", "middle"])
 
-    return names.select("name", "type", "n").mapInArrow(run, "name string, type string, n long, look string, node string")
+    return names.select("name", "type", "n").mapInArrow(run, "name string, type string, n long, look string, node string, middle string")
 
 
 def _ends(token, shortest: int):
@@ -260,17 +274,31 @@ def candidates(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     return same.unionByName(met).unionByName(middle).unionByName(sought).distinct()
 
 
-def links(pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose names match."""
+def links(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose names match.
+
+    Of a name of three tokens, what one of two lacks must be its middle in some
+    spelling of ``names`` (node, middle), or a title: "the chamber orchestra" has two
+    of the tokens of every organisation that ends so, and names none of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ok = [names_match(x.split(" "), y.split(" ")) for x, y in zip(a, b, strict=True)]
-            yield batch.filter(pa.array(ok, pa.bool_()))
+            rows = []
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = x.split(" "), y.split(" ")
+                if names_match(a, b):
+                    few, many = (a, b) if len(a) < len(b) else (b, a)
+                    more = next((Counter(many) - Counter(few)).elements(), None) if len(few) < len(many) else None
+                    rows.append((x, y, " ".join(many), None if more in TITLES else more))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [()] * 4)], names=["a", "b", "node", "middle"])
 
     ka, kb = (F.size(F.split(c, " ")) for c in "ab")
-    return pairs.where((ka == kb) | (F.abs(ka - kb) == 1) & (F.least(ka, kb) == 2)).mapInArrow(run, "a string, b string")
+    found = pairs.where((ka == kb) | (F.abs(ka - kb) == 1) & (F.least(ka, kb) == 2)).mapInArrow(run, "a string, b string, node string, middle string")
+    # pairs that need no middle find none, and lie spread by their node
+    known = names.where("middle is not null").select("node", F.col("middle").alias("extra")).distinct()
+    kept = found.withColumn("extra", F.coalesce("middle", F.lit(""))).join(known.withColumn("known", F.lit(True)), ["node", "extra"], "left")
+    return kept.where("middle is null or known").select("a", "b")
 
 
 def entities(names: DataFrame, edges: DataFrame) -> DataFrame:
@@ -300,7 +328,7 @@ def variant_pairs(triples: DataFrame, raw_triples: DataFrame, name_aliases: Data
     """
     names = materialize(parsed(spellings(triples, raw_triples), alias_map(name_aliases)))
     nodes = names.select("node").where("node <> ''").distinct()
-    edges = links(candidates(nodes))
+    edges = links(candidates(nodes), names)
     e = materialize(entities(names, edges).where(F.col("type").isin("PERSON", "ORG")).select("entity", "name", "look", "n"))
     size = e.groupBy("entity").agg(F.count(F.lit(1)).alias("size"), F.max_by(F.struct("name", "look"), F.struct("n", "name")).alias("top"))
     x = e.join(size.where("size > 1"), "entity")
@@ -318,5 +346,5 @@ def variant_pairs(triples: DataFrame, raw_triples: DataFrame, name_aliases: Data
 def name_entities(triples: DataFrame, raw_triples: DataFrame, name_aliases: DataFrame) -> DataFrame:
     """(name, entity, type): one row for every spelling of a person or organisation, with the entity's smallest token string."""
     names = materialize(parsed(spellings(triples, raw_triples), alias_map(name_aliases)))
-    edges = links(candidates(names.select("node").where("node <> ''").distinct()))
+    edges = links(candidates(names.select("node").where("node <> ''").distinct()), names)
     return entities(names, edges).where(F.col("type").isin("PERSON", "ORG")).select("name", "entity", "type")

@@ -143,3 +143,11 @@ def test_single_short_and_middle_names(spark, rows):
     nodes = spark.createDataFrame([(" ".join(sorted(n.casefold().split())),) for n in names], "node string")
     pairs = {frozenset(p) for p in V.candidates(nodes, 1).collect()}
     assert {"kakunrunbul", "kakunrunbull"} in pairs and {"bastirel fomvesselkan", "anna bastirel fomvesselkan"} in pairs
+
+
+def test_what_a_longer_name_has_more_is_its_middle(spark, rows):
+    names = ["Kakunrunbul Chamber Orchestra", "Valbospanpom Orchestra, Chamber", "the chamber orchestra", "Bastirel Fomvesselkan", "Fomvesselkan, Bastirel Anna", "Fomvesselkan Anna"]
+    t = spark.createDataFrame([(x, None, None if x[0] == "t" else "ORG" if "Chamber" in x else "PERSON", None, "", "") for x in names], TR)
+    al = spark.createDataFrame([], "short_form string, long_form string")
+    assert rows(V.variant_pairs(t, spark.createDataFrame([], RAW), al)) == [("Bastirel Fomvesselkan", "Fomvesselkan, Bastirel Anna")]
+    assert [V.middle_name(x, {}) for x in names] == ["chamber", None, None, None, "anna", None]
