@@ -267,3 +267,13 @@ def test_latency_and_reports(spark):
     b = spark.createDataFrame([("bm25", "p", "ndcg@10", 0.5), ("dense", "p", "ndcg@10", 0.5)], "config string, category string, metric string, mean double")
     assert E.pick_baseline(b).first().config == "bm25"
     assert E.stub_hits(spark, spark.createDataFrame([("q",)], "query_id string"), 3).count() == 3
+
+
+def test_a_build_leaves_no_shuffle_files(spark, tmp_path):
+    c = spark.createDataFrame([(f"p{i}", "t", f"w{i % 7} of") for i in range(50)], "passage_id string, title string, text string").repartition(5, "passage_id")
+    t = spark.createDataFrame([(f"a{i % 9}", f"b{i}", "r", f"p{i}", 0) for i in range(50)], "subject string, object string, relation string, passage_id string, sentence_index int")
+    files = lambda: sum("shuffle_" in str(f) for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()))
+    store, before = I.SearchStore(spark, str(tmp_path)), files()
+    store.build(c, t, hub=5)
+    assert files() <= before
+    assert {r.node for r in store.table("links").collect()} == {f"a{i}" for i in range(5, 9)} | {f"b{i}" for i in range(50) if i % 9 > 4}
