@@ -277,3 +277,12 @@ def test_a_build_leaves_no_shuffle_files(spark, tmp_path):
     store.build(c, t, hub=5)
     assert files() <= before
     assert {r.node for r in store.table("links").collect()} == {f"a{i}" for i in range(5, 9)} | {f"b{i}" for i in range(50) if i % 9 > 4}
+
+
+def test_comparison_searches_each_source_once(spark, monkeypatch):
+    from fernglass.plans import queries as Q
+
+    asked, search = [], R.search_store
+    monkeypatch.setattr(R, "search_store", lambda name, *a, **k: asked.append(name) or search(name, *a, **k))
+    got = Q.comparison_table(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(asked) == ["bm25", "dense", "graph"] and got
