@@ -143,3 +143,12 @@ def test_stream_adds_once(spark, rows, tmp_path):
     spark.createDataFrame([("a", "2", None), ("b", "1", None)], s).write.parquet(f"{tmp_path}/in/y")
     run()
     assert rows(spark.read.parquet(f"{tmp_path}/out"), "passage_id", "text") == [("a", "1"), ("b", "1")]
+
+
+def test_latest_tells_null_from_empty(spark, rows):
+    from datetime import datetime
+
+    at = datetime(2026, 1, 1)
+    p = [("a", None, None, "s", 1, at), ("a", "", None, "s", 1, at), ("b", None, None, "s", 1, at), ("c", "", "", "r", 1, at), ("c", "t", "x", "s", 0, at), ("d", None, "", None, 1, at), ("d", "", None, "s", 1, at), (None, "t", "x", "s", 0, at)]
+    got = ingest.latest(spark.createDataFrame(p, "passage_id string, title string, text string, source string, batch int, added_at timestamp"))
+    assert rows(got, "passage_id", "title", "text", "source") == [("a", "", None, "s"), ("b", None, None, "s"), ("c", "", "", "r"), ("d", "", None, "s")]

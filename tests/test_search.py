@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -286,3 +287,41 @@ def test_comparison_searches_each_source_once(spark, monkeypatch):
     monkeypatch.setattr(R, "search_store", lambda name, *a, **k: asked.append(name) or search(name, *a, **k))
     got = Q.comparison_table(spark, "/root/testdata/sf0.01").collect()
     assert sorted(asked) == ["bm25", "dense", "graph"] and got
+
+
+@pytest.fixture
+def parts(spark, monkeypatch):
+    """The parts of the index that stand after queries over tables of which nothing is stored yet, as where searches are many."""
+    from fernglass.plans import queries as Q
+
+    monkeypatch.setattr(R, "JOINED", 0)
+    monkeypatch.setattr(Q, "_STORES", {})
+
+    def run(*names):
+        d = "/root/testdata/sf0.001"
+        for n in names:
+            assert getattr(Q, n)(spark, d).collect()
+        (store,) = Q._STORES.values()
+        assert all(f.suffixes[-2:] == [".zstd", ".parquet"] for f in Path(store.folder.removeprefix("file:")).rglob("*.parquet"))
+        return {f.name for f in Path(store.folder.removeprefix("file:")).iterdir()}
+
+    return run
+
+
+def test_fused_search_stores_no_postings(parts):
+    assert parts("fused_search") == {"texts", "terms", "fields", "vectors", "names", "links"}
+
+
+def test_parts_that_are_built_when_read(spark, rows, tmp_path, monkeypatch):
+    c = spark.createDataFrame([(f"p{i:02d}", f"Name{i % 7}", f"w{i % 5} of Name{i}") for i in range(40)], "passage_id string, title string, text string")
+    t = spark.createDataFrame([(f"Name{i}", f"Name{i * 3 % 40}", "r", f"p{i:02d}", 0) for i in range(40)] + [("Name1", None, "r", "p01", 0)], "subject string, object string, relation string, passage_id string, sentence_index int")
+    q = spark.createDataFrame([(f"q{i}", f"w{i} of Name{i} and Name{i + 20}") for i in range(9)], "query_id string, text string")
+    whole, lazy = I.SearchStore(spark, f"{tmp_path}/whole"), I.SearchStore(spark, f"{tmp_path}/lazy")
+    whole.build(c, t)
+    lazy.over(c, t)
+    for joined, n, due in ((0, "fused-rerank", {"postings"}), (10**9, "bm25", set())):
+        monkeypatch.setattr(R, "JOINED", joined)
+        want = rows(R.search_store(n, q, whole))
+        assert want and rows(R.search_store(n, q, lazy)) == want
+        assert lazy.due == due
+    assert rows(lazy.health()) == rows(whole.health())
