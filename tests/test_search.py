@@ -290,9 +290,9 @@ def test_comparison_searches_each_source_once(spark, monkeypatch):
 
 
 def test_dense_takes_few_passages_at_once(spark, monkeypatch):
-    v = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(100)], "id int, embedding array<double>").coalesce(1)
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(600)], "id int, embedding array<double>").coalesce(1)
     q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>")
-    want = [i for i in range(100) if i % 7 == 6][:3]
+    want = [i for i in range(600) if i % 7 == 6][:3]
     for block in (2, 2048):
         monkeypatch.setattr(R, "PASSAGE_BLOCK", block)
         assert [r.passage_id for r in R.dense(q, v, 3, "id").orderBy("rank").collect()] == want
@@ -317,6 +317,10 @@ def parts(spark, monkeypatch):
     return run
 
 
+def test_mean_metrics_store_what_they_read(parts):
+    assert parts("mean_metrics") == {"texts", "terms", "fields"}
+
+
 def test_query_metrics_store_what_they_read(parts):
     assert parts("query_metrics") == {"texts", "terms", "fields", "vectors"}
 
