@@ -11,7 +11,10 @@ CORPUS = """corpus AS (
     FROM passages WHERE passage_id IS NOT NULL) WHERE rn = 1
 )"""
 
-SEARCHES = """searches AS (
+#: all labeled queries with an id and a text
+SEARCHES = "searches AS (SELECT DISTINCT query_id, text FROM labeled_queries WHERE query_id IS NOT NULL AND text IS NOT NULL)"
+
+EVERY_100TH = """searches AS (
   SELECT DISTINCT query_id, text FROM labeled_queries
   WHERE text IS NOT NULL AND try_cast(regexp_extract(query_id, '([0-9]+)$', 1) AS BIGINT) % 100 = 0
 )"""
@@ -109,7 +112,7 @@ searches AS (SELECT query_id, text FROM eq WHERE query_id IN (
   SELECT query_id FROM (SELECT query_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), ' ') || ' ' AS words FROM eq) JOIN ek ON seq <> '' AND contains(words, ' ' || seq || ' ')))"""
 
 
-def fused(k: int, searches: str = SEARCHES) -> str:
+def fused(k: int, searches: str = EVERY_100TH) -> str:
     return f"""{CORPUS}, {searches}, {ANALYZED}, {bm25(100)}, {dense(100)}, {EDGES}, {NODES}, {ADJACENCY}, {links("searches")}, {graph(50)},
     legs AS (
       SELECT query_id, passage_id, 'b' AS leg, rank, score FROM bm25_hits UNION ALL SELECT query_id, passage_id, 'd', rank, score FROM dense_hits
@@ -150,7 +153,7 @@ def scores(searches: str) -> str:
     return f"""{CORPUS}, {searches}, {ANALYZED}, {bm25(10)}, {dense(10)}, {LABELED}, {metrics("sb", "bm25_hits")}, {metrics("sd", "dense_hits")}"""
 
 
-SCORES = scores(SEARCHES)
+SCORES = scores(EVERY_100TH)
 METRICS = "SELECT query_id, category, metric, round(value, 6) AS value, 'bm25' AS config FROM sb UNION ALL SELECT query_id, category, metric, round(value, 6), 'dense' FROM sd"
 FUSED_ROWS = "SELECT query_id, passage_id, round(score, 9) AS score, rank, round(prov_bm25, 9) AS prov_bm25, round(prov_dense, 9) AS prov_dense, round(prov_graph, 9) AS prov_graph FROM fused"
 
@@ -309,13 +312,13 @@ ORACLES = {
         UNION ALL SELECT 'links', 'populated', count(*) FROM adj WHERE node IN (SELECT node FROM ok) AND nbr IN (SELECT node FROM ok)
         UNION ALL SELECT 'names', 'populated', count(*) FROM names WHERE length(lower(name)) >= 2 AND regexp_matches(name, '[\\p{{L}}\\p{{N}}_]')
     """,
-    "bm25_search": f"WITH {CORPUS}, {SEARCHES}, {ANALYZED}, {bm25(10)} SELECT query_id, passage_id, round(score, 6) AS score, rank FROM bm25_hits",
-    "bm25_text_search": f"WITH {CORPUS}, {SEARCHES}, {ANALYZED}, {bm25(10, chr(39) + 'text' + chr(39))} SELECT query_id, passage_id, round(score, 6) AS score, rank FROM bm25_hits",
+    "bm25_search": f"WITH {CORPUS}, {EVERY_100TH}, {ANALYZED}, {bm25(10)} SELECT query_id, passage_id, round(score, 6) AS score, rank FROM bm25_hits",
+    "bm25_text_search": f"WITH {CORPUS}, {EVERY_100TH}, {ANALYZED}, {bm25(10, chr(39) + 'text' + chr(39))} SELECT query_id, passage_id, round(score, 6) AS score, rank FROM bm25_hits",
     "dense_search": """
         WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS passage_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)
         SELECT query_id, passage_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id)::INT AS rank FROM s) WHERE rank <= 10
     """,
-    "dense_text_search": f"WITH {CORPUS}, {SEARCHES}, {dense(10)} SELECT query_id, passage_id, round(score, 6) AS score, rank FROM dense_hits",
+    "dense_text_search": f"WITH {CORPUS}, {EVERY_100TH}, {dense(10)} SELECT query_id, passage_id, round(score, 6) AS score, rank FROM dense_hits",
     "vector_checks": """
         SELECT vec_id::VARCHAR AS key, 'null id' AS problem FROM embeddings WHERE vec_id IS NULL
         UNION ALL SELECT vec_id::VARCHAR, 'dimension' FROM embeddings WHERE embedding IS NULL OR len(embedding) <> 64
@@ -336,14 +339,14 @@ ORACLES = {
         WITH {EDGES}, {NODES}, eq AS (SELECT DISTINCT query_id, text FROM labeled_queries WHERE text IS NOT NULL), {links("eq")}, q AS (SELECT DISTINCT query_id FROM eq)
         SELECT count(*) AS n_queries, count(*) FILTER (query_id NOT IN (SELECT query_id FROM links)) AS n_unlinked, count(*) FILTER (query_id NOT IN (SELECT query_id FROM links)) / count(*) AS rate FROM q
     """,
-    "graph_search": f"WITH {SEARCHES}, {EDGES}, {NODES}, {ADJACENCY}, {links('searches')}, {graph(10)} SELECT query_id, passage_id, score, rank FROM graph_hits",
+    "graph_search": f"WITH {EVERY_100TH}, {EDGES}, {NODES}, {ADJACENCY}, {links('searches')}, {graph(10)} SELECT query_id, passage_id, score, rank FROM graph_hits",
     "graph_search_names": f"""
         WITH {EDGES}, {ADJACENCY}, links AS (SELECT raw_id::VARCHAR AS query_id, subject_text AS name FROM raw_triples WHERE raw_id % 100 = 0 AND subject_text IS NOT NULL), {graph(10)}
         SELECT query_id, passage_id, score, rank FROM graph_hits
     """,
     "fused_search": f"WITH {fused(10)} SELECT query_id, passage_id, round(score, 9) AS score, rank, round(prov_bm25, 9) AS prov_bm25, round(prov_dense, 9) AS prov_dense, round(prov_graph, 9) AS prov_graph FROM fused",
-    "reranked_search": reranked(SEARCHES),
-    "reranked_search_one": reranked(SEARCHES.replace("searches AS (", "searches AS (SELECT * FROM (", 1)[:-1] + ") ORDER BY query_id, text LIMIT 1)"),
+    "reranked_search": reranked(EVERY_100TH),
+    "reranked_search_one": reranked(EVERY_100TH.replace("searches AS (", "searches AS (SELECT * FROM (", 1)[:-1] + ") ORDER BY query_id, text LIMIT 1)"),
     "graph_search_linked": f"WITH {LINKED}, {EDGES}, {NODES}, {ADJACENCY}, {links('searches')}, {graph(10)} SELECT query_id, passage_id, score, rank FROM graph_hits",
     "fused_search_linked": f"WITH {fused(10, LINKED)} {FUSED_ROWS}",
     "metrics_linked": f"WITH {scores(LINKED)} {METRICS}",
@@ -369,11 +372,11 @@ ORACLES = {
         SELECT 'pooled' AS category, metric, round(diff, 6) AS diff, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, (lo > 0 OR hi < 0) AS excludes_zero, n FROM n JOIN ci USING (metric)
     """,
     "baseline_choice": f"""
-        WITH {SCORES}, x AS (SELECT category, metric, value, 'bm25' AS config FROM sb UNION ALL SELECT category, metric, value, 'dense' FROM sd),
+        WITH {scores(SEARCHES)}, x AS (SELECT category, metric, value, 'bm25' AS config FROM sb UNION ALL SELECT category, metric, value, 'dense' FROM sd),
         m AS (SELECT category, config, avg(value) AS mean FROM x WHERE metric = 'ndcg@10' GROUP BY ALL UNION ALL SELECT 'pooled', config, avg(value) FROM x WHERE metric = 'ndcg@10' GROUP BY config)
         SELECT category, config FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY mean DESC, config) AS r FROM m) WHERE r = 1
     """,
-    "graph_wins": wins(SEARCHES),
+    "graph_wins": wins(EVERY_100TH),
     "graph_wins_linked": wins(LINKED),
     "win_rate": f"""
         SELECT count(*) AS n_queries, count(*) FILTER (w) AS n_wins, CASE WHEN count(*) > 0 THEN count(*) FILTER (w) / count(*) ELSE 'nan'::DOUBLE END AS rate

@@ -342,3 +342,24 @@ def test_parts_that_are_built_when_read(spark, rows, tmp_path, monkeypatch):
         assert want and rows(R.search_store(n, q, lazy)) == want
         assert lazy.due == due
     assert rows(lazy.health()) == rows(whole.health())
+
+
+@pytest.fixture
+def searched(spark, monkeypatch):
+    """Runs a query over the smallest tables; every source must be asked for every labeled query that has a text."""
+    from fernglass.plans import queries as Q
+    from fernglass.runtime import read
+
+    def run(name):
+        asked, search, d = [], R.search_store, "/root/testdata/sf0.001"
+        monkeypatch.setattr(R, "search_store", lambda n, q, *a, **k: asked.append({r.query_id for r in q.collect()}) or search(n, q, *a, **k))
+        got = getattr(Q, name)(spark, d).collect()
+        every = {r.query_id for r in read(spark, d, "labeled_queries").where("text is not null").collect()}
+        assert len(every) == 20 and asked and all(x == every for x in asked)
+        return got
+
+    return run
+
+
+def test_baseline_choice_searches_all_labeled_queries(searched):
+    searched("baseline_choice")
