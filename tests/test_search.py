@@ -363,3 +363,7 @@ def searched(spark, monkeypatch):
 
 def test_baseline_choice_searches_all_labeled_queries(searched):
     searched("baseline_choice")
+
+
+def test_bm25_search_searches_all_labeled_queries(searched):
+    searched("bm25_search")
