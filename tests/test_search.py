@@ -367,3 +367,7 @@ def test_baseline_choice_searches_all_labeled_queries(searched):
 
 def test_bm25_search_searches_all_labeled_queries(searched):
     searched("bm25_search")
+
+
+def test_contract_checks_searches_all_labeled_queries(searched):
+    searched("contract_checks")
