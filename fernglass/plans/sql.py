@@ -351,7 +351,7 @@ ORACLES = {
     "fused_search_linked": f"WITH {fused(10, LINKED)} {FUSED_ROWS}",
     "metrics_linked": f"WITH {scores(LINKED)} {METRICS}",
     "contract_checks_broken": f"""
-        WITH {fused(10)}, x AS (SELECT query_id, rank, CASE WHEN rank = 5 THEN 9.0 ELSE score END AS score FROM fused WHERE rank <> 2),
+        WITH {fused(10, SEARCHES)}, x AS (SELECT query_id, rank, CASE WHEN rank = 5 THEN 9.0 ELSE score END AS score FROM fused WHERE rank <> 2),
         y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS expected, lag(score) OVER (PARTITION BY query_id ORDER BY rank) AS before FROM x)
         SELECT DISTINCT query_id, 'ranks aren''t 1..n' AS problem FROM y WHERE rank <> expected
         UNION SELECT query_id, 'more than k hits' FROM y WHERE rank > 9 UNION SELECT query_id, 'scores rise' FROM y WHERE score > before

@@ -371,3 +371,7 @@ def test_bm25_search_searches_all_labeled_queries(searched):
 
 def test_contract_checks_searches_all_labeled_queries(searched):
     searched("contract_checks")
+
+
+def test_contract_checks_broken_searches_all_labeled_queries(searched):
+    searched("contract_checks_broken")
