@@ -344,7 +344,7 @@ ORACLES = {
         WITH {EDGES}, {ADJACENCY}, links AS (SELECT raw_id::VARCHAR AS query_id, subject_text AS name FROM raw_triples WHERE raw_id % 100 = 0 AND subject_text IS NOT NULL), {graph(10)}
         SELECT query_id, passage_id, score, rank FROM graph_hits
     """,
-    "fused_search": f"WITH {fused(10)} SELECT query_id, passage_id, round(score, 9) AS score, rank, round(prov_bm25, 9) AS prov_bm25, round(prov_dense, 9) AS prov_dense, round(prov_graph, 9) AS prov_graph FROM fused",
+    "fused_search": f"WITH {fused(10, SEARCHES)} SELECT query_id, passage_id, round(score, 9) AS score, rank, round(prov_bm25, 9) AS prov_bm25, round(prov_dense, 9) AS prov_dense, round(prov_graph, 9) AS prov_graph FROM fused",
     "reranked_search": reranked(EVERY_100TH),
     "reranked_search_one": reranked(EVERY_100TH.replace("searches AS (", "searches AS (SELECT * FROM (", 1)[:-1] + ") ORDER BY query_id, text LIMIT 1)"),
     "graph_search_linked": f"WITH {LINKED}, {EDGES}, {NODES}, {ADJACENCY}, {links('searches')}, {graph(10)} SELECT query_id, passage_id, score, rank FROM graph_hits",

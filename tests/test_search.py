@@ -375,3 +375,7 @@ def test_contract_checks_searches_all_labeled_queries(searched):
 
 def test_contract_checks_broken_searches_all_labeled_queries(searched):
     searched("contract_checks_broken")
+
+
+def test_fused_search_searches_all_labeled_queries(searched):
+    searched("fused_search")
