@@ -379,3 +379,7 @@ def test_contract_checks_broken_searches_all_labeled_queries(searched):
 
 def test_fused_search_searches_all_labeled_queries(searched):
     searched("fused_search")
+
+
+def test_graph_wins_searches_all_labeled_queries(searched):
+    searched("graph_wins")
