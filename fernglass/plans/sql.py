@@ -359,7 +359,7 @@ ORACLES = {
     "contract_checks": "SELECT ''::VARCHAR AS query_id, ''::VARCHAR AS problem WHERE false",
     "query_metrics": f"WITH {SCORES} SELECT query_id, category, metric, round(value, 6) AS value, 'bm25' AS config FROM sb UNION ALL SELECT query_id, category, metric, round(value, 6), 'dense' FROM sd",
     "mean_metrics": f"""
-        WITH {SCORES}, m AS (SELECT coalesce(category, '?') AS category, metric, avg(value) AS mean, count(*) AS n FROM sb GROUP BY ALL UNION ALL SELECT 'pooled', metric, avg(value), count(*) FROM sb GROUP BY metric),
+        WITH {scores(SEARCHES)}, m AS (SELECT coalesce(category, '?') AS category, metric, avg(value) AS mean, count(*) AS n FROM sb GROUP BY ALL UNION ALL SELECT 'pooled', metric, avg(value), count(*) FROM sb GROUP BY metric),
         want AS (SELECT c AS category, metric FROM (SELECT unnest(['exact-term', 'paraphrase', 'multi-hop-relational', 'pooled']) AS c), (SELECT DISTINCT metric FROM sb))
         SELECT category, metric, round(coalesce(mean, 'nan'::DOUBLE), 6) AS mean, coalesce(n, 0) AS n FROM want FULL JOIN m USING (category, metric)
     """,

@@ -383,3 +383,7 @@ def test_fused_search_searches_all_labeled_queries(searched):
 
 def test_graph_wins_searches_all_labeled_queries(searched):
     searched("graph_wins")
+
+
+def test_mean_metrics_searches_all_labeled_queries(searched):
+    searched("mean_metrics")
