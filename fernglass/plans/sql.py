@@ -153,7 +153,6 @@ def scores(searches: str) -> str:
     return f"""{CORPUS}, {searches}, {ANALYZED}, {bm25(10)}, {dense(10)}, {LABELED}, {metrics("sb", "bm25_hits")}, {metrics("sd", "dense_hits")}"""
 
 
-SCORES = scores(EVERY_100TH)
 METRICS = "SELECT query_id, category, metric, round(value, 6) AS value, 'bm25' AS config FROM sb UNION ALL SELECT query_id, category, metric, round(value, 6), 'dense' FROM sd"
 FUSED_ROWS = "SELECT query_id, passage_id, round(score, 9) AS score, rank, round(prov_bm25, 9) AS prov_bm25, round(prov_dense, 9) AS prov_dense, round(prov_graph, 9) AS prov_graph FROM fused"
 
@@ -357,7 +356,7 @@ ORACLES = {
         UNION SELECT query_id, 'more than k hits' FROM y WHERE rank > 9 UNION SELECT query_id, 'scores rise' FROM y WHERE score > before
     """,
     "contract_checks": "SELECT ''::VARCHAR AS query_id, ''::VARCHAR AS problem WHERE false",
-    "query_metrics": f"WITH {SCORES} SELECT query_id, category, metric, round(value, 6) AS value, 'bm25' AS config FROM sb UNION ALL SELECT query_id, category, metric, round(value, 6), 'dense' FROM sd",
+    "query_metrics": f"WITH {scores(SEARCHES)} SELECT query_id, category, metric, round(value, 6) AS value, 'bm25' AS config FROM sb UNION ALL SELECT query_id, category, metric, round(value, 6), 'dense' FROM sd",
     "mean_metrics": f"""
         WITH {scores(SEARCHES)}, m AS (SELECT coalesce(category, '?') AS category, metric, avg(value) AS mean, count(*) AS n FROM sb GROUP BY ALL UNION ALL SELECT 'pooled', metric, avg(value), count(*) FROM sb GROUP BY metric),
         want AS (SELECT c AS category, metric FROM (SELECT unnest(['exact-term', 'paraphrase', 'multi-hop-relational', 'pooled']) AS c), (SELECT DISTINCT metric FROM sb))

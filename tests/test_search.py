@@ -387,3 +387,7 @@ def test_graph_wins_searches_all_labeled_queries(searched):
 
 def test_mean_metrics_searches_all_labeled_queries(searched):
     searched("mean_metrics")
+
+
+def test_query_metrics_searches_all_labeled_queries(searched):
+    searched("query_metrics")
