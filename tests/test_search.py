@@ -391,3 +391,7 @@ def test_mean_metrics_searches_all_labeled_queries(searched):
 
 def test_query_metrics_searches_all_labeled_queries(searched):
     searched("query_metrics")
+
+
+def test_reranked_search_searches_all_labeled_queries(searched):
+    searched("reranked_search")
