@@ -112,7 +112,7 @@ searches AS (SELECT query_id, text FROM eq WHERE query_id IN (
   SELECT query_id FROM (SELECT query_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), ' ') || ' ' AS words FROM eq) JOIN ek ON seq <> '' AND contains(words, ' ' || seq || ' ')))"""
 
 
-def fused(k: int, searches: str = EVERY_100TH) -> str:
+def fused(k: int, searches: str) -> str:
     return f"""{CORPUS}, {searches}, {ANALYZED}, {bm25(100)}, {dense(100)}, {EDGES}, {NODES}, {ADJACENCY}, {links("searches")}, {graph(50)},
     legs AS (
       SELECT query_id, passage_id, 'b' AS leg, rank, score FROM bm25_hits UNION ALL SELECT query_id, passage_id, 'd', rank, score FROM dense_hits

@@ -395,3 +395,7 @@ def test_query_metrics_searches_all_labeled_queries(searched):
 
 def test_reranked_search_searches_all_labeled_queries(searched):
     searched("reranked_search")
+
+
+def test_tuned_search_searches_all_labeled_queries(searched):
+    searched("tuned_search")
