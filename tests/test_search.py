@@ -399,3 +399,7 @@ def test_reranked_search_searches_all_labeled_queries(searched):
 
 def test_tuned_search_searches_all_labeled_queries(searched):
     searched("tuned_search")
+
+
+def test_comparison_table_searches_all_labeled_queries(searched):
+    searched("comparison_table")
