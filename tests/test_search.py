@@ -403,3 +403,19 @@ def test_tuned_search_searches_all_labeled_queries(searched):
 
 def test_comparison_table_searches_all_labeled_queries(searched):
     searched("comparison_table")
+
+
+def test_dense_stores_each_of_several_scans(spark, rows, monkeypatch):
+    m = np.random.default_rng(5).integers(-2, 3, (400, 4)).astype(float)
+    v = spark.createDataFrame([(f"p{i:03d}", x.tolist()) for i, x in enumerate(m)], "passage_id string, embedding array<double>")
+    q = spark.createDataFrame([(f"q{i % 50}", m[i].tolist()) for i in range(60)], "query_id string, embedding array<double>")
+    want = rows(R.dense(q, v, 7))
+    for i in range(10, 50):
+        best = sorted((-round(float(s), 9), f"p{j:03d}") for j, s in enumerate(m @ m[i]))[:7]
+        assert [(-s, p) for s, p in best] == [(s, p) for x, p, s, r in sorted(want, key=lambda x: x[3]) if x == f"q{i}"]
+    stored = []
+    monkeypatch.setattr(R, "QUERIES_A_SCAN", 9)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(R, "PASSAGE_BLOCK", 3)
+    monkeypatch.setattr(R, "materialize", lambda df, *a, f=R.materialize: stored.append(df) or f(df, *a))
+    assert rows(R.dense(q, v, 7)) == want and len(stored) > 4
